@@ -26,6 +26,7 @@ from ._common import materialise, ready
 
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
 SLOTS = 4096
+SPAN = 16384  # words over which the dynamic programming is exact
 
 
 def n_words(text: Column) -> Column:
@@ -70,40 +71,31 @@ def fit_budget(length: np.ndarray, count: np.ndarray, budget: int) -> np.ndarray
         rest -= n * int(length[i])
     if rest <= 0:
         return take
-    # A gap that is left is closed with the smallest swap: documents taken of one length are given back for others.
-    span = rest + int(length[(length > 0) & (take > 0)].min(initial=0))
-    for back in [None, *np.argsort(length, kind="stable")]:
-        if back is not None and (take[back] == 0 or length[back] == 0 or length[back] > span):
-            continue
-        gap = rest + (0 if back is None else int(length[back]))
-        free = count - take
-        if back is not None:
-            free[back] = 0
-        reached, by, times = np.zeros(gap + 1, bool), np.full(gap + 1, -1), np.zeros(gap + 1, np.int64)
-        reached[0] = True
-        for i in np.flatnonzero((length > 0) & (length <= gap) & (free > 0)):
-            left, part = min(int(free[i]), gap // int(length[i])), 1
-            while left > 0:
-                m = min(part, left)
-                step = m * int(length[i])
-                fresh = np.zeros(gap + 1, bool)
-                fresh[step:] = reached[:-step] & ~reached[step:]
-                by[fresh], times[fresh] = i, m
-                reached |= fresh
-                left, part = left - m, part * 2
-            if reached[gap]:
+    # Documents are given back, one of each length in turn, until the gap is SPAN wide; the best sum for it is found exactly.
+    order = np.flatnonzero(length > 0)
+    while rest < SPAN and take[order].any():
+        for i in order[take[order] > 0]:
+            if rest >= SPAN:
                 break
-        best = int(np.flatnonzero(reached)[-1])
-        if back is None or best > gap - rest:
-            if back is not None:
-                take[back] -= 1
-            at = best
-            while at > 0:
-                take[by[at]] += times[at]
-                at -= int(times[at] * length[by[at]])
-            rest = gap - best
-        if rest == 0:
-            break
+            take[i] -= 1
+            rest += int(length[i])
+    free = count - take
+    reached, by, times = np.zeros(rest + 1, bool), np.full(rest + 1, -1), np.zeros(rest + 1, np.int64)
+    reached[0] = True
+    for i in order[(length[order] <= rest) & (free[order] > 0)]:
+        left, part = min(int(free[i]), rest // int(length[i])), 1
+        while left > 0 and not reached[rest]:
+            m = min(part, left)
+            step = m * int(length[i])
+            fresh = np.zeros(rest + 1, bool)
+            fresh[step:] = reached[:-step] & ~reached[step:]
+            by[fresh], times[fresh] = i, m
+            reached |= fresh
+            left, part = left - m, part * 2
+    at = int(np.flatnonzero(reached)[-1])
+    while at > 0:
+        take[by[at]] += times[at]
+        at -= int(times[at] * length[by[at]])
     return take
 
 
