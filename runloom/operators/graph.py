@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,13 +63,11 @@ def step_tree(steps: DataFrame) -> DataFrame:
     """(trace_id, step_number, depth, position): pre-order of each trace's parent tree. Every step comes once;
     steps whose parent is missing, or that lie on a cycle, are roots."""
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("step_number")
-        numbers = rows["step_number"].tolist()
+    def walk(numbers: list[int], parents: list[int | None]) -> list[tuple[int, int]]:
         known, below, roots = set(numbers), {}, []
-        for n, p in zip(numbers, rows["parent_step_number"].tolist()):
-            if pd.notna(p) and int(p) in known and int(p) != n:
-                below.setdefault(int(p), []).append(n)
+        for n, p in zip(numbers, parents):
+            if p is not None and p in known and p != n:
+                below.setdefault(p, []).append(n)
             else:
                 roots.append(n)
         seen, out = set(), []
@@ -79,12 +79,18 @@ def step_tree(steps: DataFrame) -> DataFrame:
                     seen.add(n)
                     out.append((n, depth))
                     todo += [(c, depth + 1) for c in reversed(below.get(n, []))]
-        return pd.DataFrame(
-            {"trace_id": rows["trace_id"].iloc[0], "step_number": [n for n, _ in out], "depth": [d for _, d in out], "position": range(len(out))}
-        )
-
-    rows = steps.select("trace_id", "step_number", "parent_step_number")
-    return rows.groupBy("trace_id").applyInPandas(walk, "trace_id string, step_number int, depth int, position int")
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                out = walk([x["step_number"] for x in s], [x["parent_step_number"] for x in s])
+                cols = [pa.array([t] * len(out), pa.string()), *(pa.array([x[j] for x in out], pa.int32()) for j in (0, 1))]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(range(len(out)), pa.int32())], ["trace_id", "step_number", "depth", "position"])
+
+    one = F.struct(F.col("step_number").cast("int"), F.col("parent_step_number").cast("int"))
+    nested = steps.groupBy("trace_id").agg(F.array_sort(F.collect_list(one)).alias("s"))
+    return nested.mapInArrow(run, "trace_id string, step_number int, depth int, position int")
 
 
 def fork(traces: DataFrame, steps: DataFrame, at: int) -> tuple[DataFrame, DataFrame]:
