@@ -88,7 +88,7 @@ def step_tree(steps: DataFrame) -> DataFrame:
                 cols = [pa.array([t] * len(out), pa.string()), *(pa.array([x[j] for x in out], pa.int32()) for j in (0, 1))]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(range(len(out)), pa.int32())], ["trace_id", "step_number", "depth", "position"])
 
-    one = F.struct(F.col("step_number").cast("int"), F.col("parent_step_number").cast("int"))
+    one = F.struct(*(F.col(c).cast("int").alias(c) for c in ("step_number", "parent_step_number")))
     nested = steps.groupBy("trace_id").agg(F.array_sort(F.collect_list(one)).alias("s"))
     return nested.mapInArrow(run, "trace_id string, step_number int, depth int, position int")
 
