@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import math
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -174,3 +177,70 @@ def guard_verdicts(matches: DataFrame) -> DataFrame:
     rank = F.array_position(F.array(*map(F.lit, ACTIONS)), F.col("action"))
     w = Window.partitionBy("trace_id", "step_number").orderBy(rank.desc(), F.col("priority").desc(), "policy")
     return matches.withColumn("r", F.row_number().over(w)).where("r = 1").select("trace_id", "step_number", F.col("action").alias("verdict"), "policy")
+
+
+@dataclass(frozen=True)
+class Criterion:
+    name: str
+    pattern: str
+    expected: bool
+    weight: float = 1.0
+
+
+def parse_rubric(text: str) -> tuple[str, float, list[Criterion]]:
+    """(name, threshold, criteria) of a rubric in JSON; what is malformed raises ValueError."""
+    raw = json.loads(text)
+    if not isinstance(raw, dict) or not isinstance(raw.get("name"), str) or not raw["name"].strip():
+        raise ValueError("a rubric needs a name")
+    number = lambda x: isinstance(x, (int, float)) and not isinstance(x, bool) and math.isfinite(x)
+    threshold = raw.get("threshold", 0.7)
+    if not number(threshold) or not 0 <= threshold <= 1:
+        raise ValueError("threshold must lie in 0 to 1")
+    if not isinstance(raw.get("criteria"), list) or not raw["criteria"]:
+        raise ValueError("a rubric needs criteria")
+    out = []
+    for c in raw["criteria"]:
+        if not isinstance(c, dict) or not all(isinstance(c.get(k), str) and c[k] for k in ("name", "pattern")):
+            raise ValueError("a criterion needs a name and a pattern")
+        if not isinstance(c.get("expected"), bool) or not number(c.get("weight", 1)) or c.get("weight", 1) < 0:
+            raise ValueError(f"criterion {c['name']}: expected must be a boolean and weight 0 or more")
+        out.append(Criterion(c["name"], c["pattern"], c["expected"], float(c.get("weight", 1))))
+    if len({c.name for c in out}) < len(out):
+        raise ValueError("criteria must have different names")
+    return raw["name"], float(threshold), out
+
+
+def eval_rubric(traces: DataFrame, steps: DataFrame, criteria: Sequence[Criterion], threshold: float = 0.7) -> DataFrame:
+    """trace_id, a column for each criterion, score, passed. A pattern that is expected is sought in outputs only, one that is
+    not in everything the run holds; letter case is folded. A pattern must stand within the trace's or one step's text, so that
+    no run is gathered in one row. An invalid pattern scores 0; weights below 0 count as 0, and all at 0 are an error."""
+    weigh = {c.name: c.weight if math.isfinite(c.weight) and c.weight > 0 else 0.0 for c in criteria}
+    if not sum(weigh.values()):
+        raise ValueError("a rubric needs a criterion with a weight above 0")
+    java = traces.sparkSession._jvm.java.util.regex.Pattern
+
+    def valid(pattern: str) -> bool:
+        try:
+            java.compile(pattern)
+        except IllegalArgumentException:
+            return False
+        return True
+
+    text = lambda x: F.coalesce(x, F.lit('""'))
+    said = lambda: text(F.col("output"))
+    quoted = F.concat(F.lit('"'), F.coalesce("error", F.lit("")), F.lit('"'))
+    whole = {
+        "trace": F.concat_ws(" ", said(), text(F.col("input")), quoted),
+        "step": F.concat_ws(" ", said(), F.col("name"), text(F.col("input")), quoted),
+    }
+    good = [c for c in criteria if valid(c.pattern)]
+
+    def hits(kind: str) -> list[Column]:
+        return [(said() if c.expected else whole[kind]).rlike(f"(?i){c.pattern}").alias(f"{kind}_{i}") for i, c in enumerate(good)]
+
+    most = [F.max(f"step_{i}").alias(f"step_{i}") for i in range(len(good))]
+    per = steps.select("trace_id", *hits("step")).groupBy("trace_id").agg(F.count("*").alias("steps"), *most)
+    rows = traces.select(F.col("id").alias("trace_id"), *hits("trace")).join(per, "trace_id", "left")
+    found = {c.name: F.col(f"trace_{i}") | F.coalesce(f"step_{i}", F.lit(False)) for i, c in enumerate(good)}
+    score = {c.name: F.when(found[c.name] == c.expected, 1.0).otherwise(0.0) if c.name in found else F.lit(0.0) for c in criteria}
+    return _result(rows, {n: (s, weigh[n], False) for n, s in score.items()}, threshold)

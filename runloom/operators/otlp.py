@@ -1,0 +1,109 @@
+"""OTLP trace batches in JSON, read set-wise: batches to spans, and spans to what ingest.assemble_spans takes.
+
+A batch is one row (seq, body), seq being its place in the order of delivery. A body that is no JSON yields no spans.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+_VALUE = "struct<stringValue: string, intValue: string, doubleValue: double, boolValue: boolean>"
+_ATTRS = f"array<struct<key: string, value: {_VALUE}>>"
+_SPAN = (
+    "struct<traceId: string, spanId: string, parentSpanId: string, name: string, startTimeUnixNano: string, endTimeUnixNano: string,"
+    f" attributes: {_ATTRS}, status: struct<code: string, message: string>, events: array<struct<name: string, attributes: {_ATTRS}>>>"
+)
+BODY = f"struct<resourceSpans: array<struct<resource: struct<attributes: {_ATTRS}>, scopeSpans: array<struct<spans: array<{_SPAN}>>>>>>"
+
+# The operations, kinds and attribute names of the instrumentation conventions in use.
+ROOTS = ("invoke_agent", "invoke_workflow", "create_agent")
+OPERATIONS = {
+    "execute_tool": "tool_call", "chat": "llm_call", "generate_content": "llm_call", "text_completion": "llm_call",
+    "embeddings": "retrieval", "retrieval": "retrieval", "plan": "thought",
+}
+KINDS = {
+    "AGENT": "root", "CHAIN": "root", "TOOL": "tool_call", "LLM": "llm_call", "RETRIEVER": "retrieval", "EMBEDDING": "retrieval",
+    "GUARDRAIL": "guard_check",
+}
+SPAN_KINDS = {"workflow": "root", "agent": "root", "tool": "tool_call", "task": "thought"}
+TOKENS_IN = ("gen_ai.usage.input_tokens", "gen_ai.usage.prompt_tokens", "llm.token_count.prompt")
+TOKENS_OUT = ("gen_ai.usage.output_tokens", "gen_ai.usage.completion_tokens", "llm.token_count.completion")
+TOKENS = ("gen_ai.usage.total_tokens", "llm.token_count.total")
+COST = ("gen_ai.usage.cost", "cost_usd", "cost")
+
+
+def attribute(attrs: Column, *names: str) -> Column:
+    """Text of the first of these attributes that is there; of a repeated key the last value counts."""
+
+    def one(name: str) -> Column:
+        v = F.try_element_at(F.filter(attrs, lambda x: x["key"] == name), F.lit(-1))["value"]
+        return F.coalesce(v["stringValue"], v["intValue"], v["doubleValue"].cast("string"), v["boolValue"].cast("string"))
+
+    return F.coalesce(*(one(n) for n in names))
+
+
+def _filled(x: Column) -> Column:
+    return F.when(x != "", x)
+
+
+def _amount(x: Column) -> Column:
+    """A finite number above zero, else 0."""
+    n = x.try_cast("double")
+    return F.when((n > 0) & (n < float("inf")), n).otherwise(0.0)
+
+
+def _step_type(name: Column, attrs: Column) -> Column:
+    """root, or the type of the step that a span is: by operation, by kind, by request type, by the name's first word."""
+    known = {r: "root" for r in ROOTS} | OPERATIONS
+    of = lambda table, key: F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), key)
+    return F.coalesce(
+        of(known, attribute(attrs, "gen_ai.operation.name")),
+        of(KINDS, F.upper(attribute(attrs, "openinference.span.kind"))),
+        of(SPAN_KINDS, F.lower(attribute(attrs, "traceloop.span.kind"))),
+        F.when(attribute(attrs, "llm.request.type").isNotNull(), "llm_call"),
+        of(known, F.regexp_extract(F.trim(name), r"^\S+", 0)),
+        F.lit("thought"),
+    )
+
+
+def read_spans(batches: DataFrame) -> DataFrame:
+    """(seq, trace_id, span_id, parent_id, name, step_type, start_ms, end_ms, tokens, cost_usd, error, service) of every span.
+
+    A span without a trace id is a trace of its own, and one without a span id is never taken for another. An explicit OK
+    status wins over a recorded exception and error.type; an error always has a message. Counts below zero are 0.
+    """
+    body = F.from_json("body", BODY)
+    rows = batches.select("seq", F.posexplode(body["resourceSpans"]).alias("i", "r"))
+    rows = rows.select("seq", "i", "r.resource", F.posexplode("r.scopeSpans").alias("j", "c"))
+    rows = rows.select("seq", "i", "j", "resource", F.posexplode("c.spans").alias("k", "s"))
+    place = F.struct("seq", "i", "j", "k")
+    alone = F.concat(F.lit("!"), F.concat_ws(".", "seq", "i", "j", "k"))
+    attrs, code = F.col("s.attributes"), F.col("s.status.code")
+    raised = F.try_element_at(F.filter("s.events", lambda e: e["name"] == "exception"), F.lit(1))["attributes"]
+    thrown = F.coalesce(_filled(attribute(raised, "exception.message")), _filled(attribute(raised, "exception.type")))
+    kind = _filled(attribute(attrs, "error.type"))
+    failed = code.isin("2", "STATUS_CODE_ERROR")
+    fine = F.coalesce(code.isin("1", "STATUS_CODE_OK"), F.lit(False))
+    text = F.coalesce(_filled(F.col("s.status.message")), thrown, kind, F.lit("error"))
+    split = _amount(attribute(attrs, *TOKENS_IN)) + _amount(attribute(attrs, *TOKENS_OUT))
+    millis = lambda c: F.nullif(F.floor(F.col(c).try_cast("decimal(20,0)") / 1_000_000).cast("bigint"), F.lit(0))
+    return rows.select(
+        place.alias("seq"),
+        F.coalesce(_filled(F.col("s.traceId")), alone).alias("trace_id"), F.coalesce(_filled(F.col("s.spanId")), alone).alias("span_id"),
+        _filled(F.col("s.parentSpanId")).alias("parent_id"), F.col("s.name").alias("name"),
+        _step_type(F.col("s.name"), attrs).alias("step_type"), millis("s.startTimeUnixNano").alias("start_ms"),
+        millis("s.endTimeUnixNano").alias("end_ms"),
+        F.when(split > 0, split).otherwise(_amount(attribute(attrs, *TOKENS))).cast("bigint").alias("tokens"),
+        _amount(attribute(attrs, *COST)).alias("cost_usd"),
+        F.when(F.coalesce(failed, F.lit(False)) | (~fine & F.coalesce(thrown, kind).isNotNull()), text).alias("error"),
+        attribute(F.col("resource.attributes"), "service.name").alias("service"),
+    )
+
+
+def as_assembly(spans: DataFrame) -> DataFrame:
+    """The spans as ingest.assemble_spans takes them: a root is what its operation calls one, whatever its parent."""
+    parent = F.when(F.col("step_type") != "root", F.coalesce("parent_id", F.lit("")))
+    return spans.select(
+        "trace_id", "span_id", parent.alias("parent_id"), "start_ms", "end_ms", "tokens", F.col("error").isNotNull().alias("failed"), "seq"
+    )

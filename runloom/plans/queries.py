@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import browse, compare, graph, ingest, judge
+from ..operators import browse, compare, graph, ingest, judge, otlp
 from ..sources.fixtures import ORACLE, Store, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,6 +187,15 @@ query("eval_completeness", """, p as (select trace_id, count(*) filter (step_typ
  select *, score >= 0.7 and all_tool_calls_completed <> 0 and no_unresolved_errors <> 0 as passed from r""")(
     lambda s: judge.eval_completeness(s.traces, s.steps)
 )
+RUBRIC = (
+    judge.Criterion("answers", "answer|ship", True, 2.0), judge.Criterion("no_failures", "TOOL FAILED", False), judge.Criterion("broken", "(", True, 0.5),
+)
+query("eval_rubric", """, p as (select trace_id, bool_or(regexp_matches(coalesce(output, ''), '(?i)answer|ship')) as a, bool_or(error = 'tool failed') as f from steps group by 1),
+ c as (select id as trace_id, case when a or regexp_matches(coalesce(output, ''), '(?i)answer|ship') then 1.0::double else 0.0::double end as answers,
+ case when f then 0.0::double else 1.0::double end as no_failures, 0.0::double as broken from traces left join p on trace_id = id),
+ r as (select *, floor((answers * 2 + no_failures) / 3.5::double * 1000 + 0.5) / 1000 as score from c) select *, score >= 0.7 as passed from r""")(
+    lambda s: judge.eval_rubric(s.traces, s.steps, RUBRIC)
+)
 QUERIES["eval_hallucination"] = lambda spark, d: (lambda s: judge.eval_hallucination(s.traces, s.steps))(Store(spark, d))
 
 POLICIES = (
@@ -270,10 +279,26 @@ def spans(s: Store) -> DataFrame:
     return one.drop("partkey").union(one.where("partkey % 7 = 0").withColumn("seq", F.col("seq") + 100).drop("partkey"))
 
 
-query("span_assembly", """, s as (select *, step_number = 1 and suppkey % 2 = 0 as root, trace_key * 1000 + step_number as st, trace_key * 1000 + step_number * 2 as en from steps)
+SPANS = """, s as (select *, step_number = 1 and suppkey % 2 = 0 as root, trace_key * 1000 + step_number as st, trace_key * 1000 + step_number * 2 as en from steps)
  select trace_id, count(*) - count(*) filter (root) as steps, cast(nullif(sum(tokens_used), 0) as bigint) as tokens, min(st) as start_ms, max(en) - min(st) as duration_ms,
  count(*) filter (root) = 0 as synthetic, case when (count(*) filter (root) > 0 and bool_or(root and error is not null))
- or (count(*) filter (root) = 0 and bool_or(error is not null)) then 'failed' else 'completed' end as status from s group by 1""")(lambda s: ingest.assemble_spans(spans(s)))
+ or (count(*) filter (root) = 0 and bool_or(error is not null)) then 'failed' else 'completed' end as status from s group by 1"""
+query("span_assembly", SPANS)(lambda s: ingest.assemble_spans(spans(s)))
+
+
+def batches(s: Store) -> DataFrame:
+    """The spans of spans() as OTLP bodies of one span each."""
+    one = spans(s).selectExpr(
+        "seq", "named_struct('traceId', trace_id, 'spanId', span_id, 'parentSpanId', parent_id, 'name', 'step', 'startTimeUnixNano',"
+        " cast(start_ms * 1000000 as string), 'endTimeUnixNano', cast(end_ms * 1000000 as string), 'attributes', array("
+        "named_struct('key', 'gen_ai.operation.name', 'value', named_struct('stringValue', if(parent_id is null, 'invoke_agent', 'chat'), 'intValue', cast(null as string))),"
+        " named_struct('key', 'gen_ai.usage.input_tokens', 'value', named_struct('stringValue', cast(null as string), 'intValue', cast(tokens as string)))),"
+        " 'status', named_struct('code', if(failed, 2, 0))) as span",
+    )
+    return one.selectExpr("seq", "to_json(named_struct('resourceSpans', array(named_struct('scopeSpans', array(named_struct('spans', array(span))))))) as body")
+
+
+query("otlp_assembly", SPANS)(lambda s: ingest.assemble_spans(otlp.as_assembly(otlp.read_spans(batches(s)))))
 
 
 def capture(s: Store) -> DataFrame:
