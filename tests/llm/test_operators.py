@@ -156,6 +156,26 @@ def test_decontamination_recall(spark, none):
     assert decontamination.find(none, bench).count() == 0
 
 
+def found(items, texts):
+    """The texts, as many as items, in which the item of the same number is found."""
+    index = decontamination.Index([(i, " ".join(w).encode()) for i, w in enumerate(items)])
+    h, bounds = _text.words_of([" ".join(w).encode() for w in texts])[:2]
+    return {x[0] for x in index.find(h, bounds) if x[0] == x[1]}
+
+
+@pytest.mark.parametrize("n", [18, 30, 58, 90])
+def test_decontamination_at_the_ends_of_documents(n):
+    rnd = random.Random(n)
+    some = lambda k: [f"w{rnd.randrange(3000)}" for _ in range(k)]
+    items = [some(n) for _ in range(20)]
+    places = {
+        "less the last": lambda w: w[:-1], "less the first": lambda w: w[1:], "whole": lambda w: w,
+        "start": lambda w: w[1:] + some(60), "end": lambda w: some(60) + w[:-1],
+    }
+    for name, place in places.items():
+        assert len(found(items, [place(w) for w in items])) >= 19, name
+
+
 def test_quality_rules(docs, none):
     got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
     for i, t, *_ in corpus():
