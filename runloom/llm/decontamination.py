@@ -3,15 +3,18 @@
 Symbols are folded words. An item of n words is found where a stretch of a document is within k = floor(edits * n) word
 insertions, deletions and replacements. The stages, for every document over its whole text:
 
-1. Item-sized windows. An occurrence within k edits keeps at least n - 2 - 3k of the item's 3-word runs, in at most k + 1
-   alignments, so one alignment keeps ceil((n - 2 - 3k) / (k + 1)) of them: windows that keep fewer are passed over without loss.
-2. CGK random walks. A pointer walks over the window for 3n steps; each step emits the word under the pointer, which moves on where a
-   random function of step and word says so. Equal walks drift together again after an edit, so few edits mean few differing
-   steps. ``REPEATS`` walks with functions of their own are sampled at ``BITS`` steps each; a window is a candidate where any
-   sample equals the item's. A window is sampled at the item's own steps: it has the item's length, and its places before or after
-   the document hold a symbol that is no word. With a share q of the steps unequal, (1 - (1-q)**BITS)**REPEATS of the pairs are missed: 0.005 at
-   q = 0.4 (measured recall is in the tests).
-3. Exact verification by the edit distance between the item and the best stretch around the window.
+1. Aligned 3-word runs. An occurrence within k edits keeps at least n - 2 - 3k of the item's 3-word runs, in at most k + 1
+   alignments that lie at most k apart. So one alignment keeps ceil((n - 2 - 3k) / (k + 1)) of them, and those within k of it
+   together n - 2 - 3k: what keeps fewer is passed over without loss.
+2. CGK random walks over pieces. An item is dealt into pieces of about ``PIECE`` words; one of them holds no more than its share
+   of the k edits, however long the item is, so the recall doesn't fall with the length. A piece is compared with the document's
+   words at its own places in each alignment that keeps a run of it. A pointer walks over a piece of m words for 2m steps;
+   each step emits the word under the pointer, which moves on where a random function of step and word says so. Equal walks
+   drift together again after an edit, so few edits mean few differing steps. ``REPEATS`` walks with functions of their own
+   are sampled at ``BITS`` steps each; an alignment is a candidate where any sample of any piece equals the item's. Windows are
+   sampled at the piece's own steps; places before or after the document hold a symbol that is no word. With a share q of the
+   steps unequal, (1 - (1-q)**BITS)**REPEATS of the pieces are missed: 0.0001 at q = 0.5, 0.05 at q = 0.7.
+3. Exact verification by the edit distance between the item and the best stretch around the candidate alignments.
 
 The benchmark is taken in blocks of at most ``block_words`` words; each block's index is broadcast and costs one scan.
 
@@ -32,22 +35,21 @@ from pyspark.sql import functions as F
 from ._common import materialise, ready
 from ._text import blocks, mix, windows, words_of
 
-EDITS, GRAM, REPEATS, BITS = 0.15, 3, 20, 3
-_MAP = 22
+EDITS, GRAM, REPEATS, BITS, PIECE = 0.15, 3, 32, 2, 20
+_MAP, _REACH = 22, 1 << 16
 
 
 def embed(rows: np.ndarray, sizes: np.ndarray, seed: int = 5) -> np.ndarray:
     """Sample keys (len(rows) x REPEATS) of CGK walks over padded rows of word hashes, row i being sizes[i] words long."""
     n, longest = len(rows), int(sizes.max(initial=0))
     rows = np.concatenate([rows[:, :longest], np.zeros((n, 1), np.uint64)], axis=1)
-    steps = 3 * longest
     base = np.arange(1, REPEATS + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
     pick = mix(base * np.uint64(31) + np.arange(1, BITS + 1, dtype=np.uint64) + np.uint64(seed))  # REPEATS x BITS
     share = (pick >> np.uint64(40)).astype(np.float64) / 2**24
     at = (share[None] * (2.0 * sizes)[:, None, None]).astype(np.int64)  # most walks end after two steps a word
     pointer, keys = np.zeros((REPEATS, n), np.int64), np.zeros((REPEATS, n), np.uint64)
     who = np.arange(n)
-    for j in range(steps):
+    for j in range(2 * longest):
         live = np.minimum(pointer, sizes)
         word = rows[who, live]
         word = np.where(live < sizes, word, np.uint64(1))
@@ -55,8 +57,6 @@ def embed(rows: np.ndarray, sizes: np.ndarray, seed: int = 5) -> np.ndarray:
         if hit.any():
             keys = np.where(hit > 0, mix(keys ^ (word * np.uint64(2 * j + 3))), keys)
         pointer += (mix(word ^ (base * np.uint64(j + 1))) & np.uint64(1)).astype(np.int64)
-        if j >= 2 * longest:
-            break
     return keys.T
 
 
@@ -73,7 +73,7 @@ def edit_distance(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
 
 
 class Index:
-    """The items of one block: words, allowed edits, 3-word runs with their places, and sample keys."""
+    """The items of one block: words, allowed edits, 3-word runs with their places, pieces and their sample keys."""
 
     def __init__(self, items: list[tuple[int | None, bytes]], edits: float = EDITS):
         texts = [t for _, t in items]
@@ -83,7 +83,8 @@ class Index:
         self.words = [h[bounds[i] : bounds[i + 1]] for i in kept]
         self.n = np.array([len(w) for w in self.words], np.int64)
         self.k = np.minimum(np.floor(edits * self.n).astype(np.int64), np.maximum((self.n - GRAM) // 3, 0))
-        self.need = np.maximum(1, -(-(self.n - 2 - 3 * self.k) // (self.k + 1)))
+        self.kept = np.maximum(1, self.n - 2 - 3 * self.k)  # runs in all alignments of an occurrence
+        self.need = -(-self.kept // (self.k + 1))  # runs in one of them
         grams = [windows(w, GRAM) for w in self.words]
         g = np.concatenate([*grams, np.zeros(0, np.uint64)])
         order = np.argsort(g, kind="stable")
@@ -92,7 +93,27 @@ class Index:
         self.offset = np.concatenate([*(np.arange(len(x)) for x in grams), np.zeros(0, np.int64)]).astype(np.int64)[order]
         self.map = np.zeros(1 << _MAP, bool)
         self.map[(self.grams & np.uint64((1 << _MAP) - 1)).astype(np.int64)] = True
-        self.keys = embed(padded(self.words), self.n) if len(self.n) else np.zeros((0, REPEATS), np.uint64)
+        self.pieces = np.maximum(1, self.n // PIECE)
+        self.first = np.cumsum(self.pieces) - self.pieces  # each item's first piece
+        of = np.repeat(np.arange(len(self.n)), self.pieces)
+        nth = np.arange(len(of)) - self.first[of]
+        self.start = nth * self.n[of] // self.pieces[of]  # each piece's place in its item, and its words
+        self.size = (nth + 1) * self.n[of] // self.pieces[of] - self.start
+        rows = padded([self.words[i][a : a + m] for i, a, m in zip(of, self.start, self.size)])
+        self.keys = embed(rows, self.size) if len(of) else np.zeros((0, REPEATS), np.uint64)
+
+    def piece(self, item: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The pieces that hold the words at these places of the items."""
+        return self.first[item] + ((place + 1) * self.pieces[item] - 1) // self.n[item]
+
+    def aligned(self, pair: np.ndarray, item: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Which of the hits (sorted by pair and start) lie within k of an alignment that may be an occurrence's."""
+        wide = np.int64(1) << 32  # pairs stay apart
+        at, k = pair * wide + start, self.k[item]
+        each = np.searchsorted(at, at, "right") - np.searchsorted(at, at, "left")
+        near = np.searchsorted(at, at + k, "right") - np.searchsorted(at, at - k, "left")
+        good = at[(each >= self.need[item]) & (near >= self.kept[item])]
+        return np.searchsorted(good, at + k, "right") > np.searchsorted(good, at - k, "left")
 
     def find(self, h: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text, item, first word, words, distance) of the best occurrence of each item in each text."""
@@ -107,20 +128,38 @@ class Index:
             return []
         where = np.repeat(lo, each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
         item, doc, start = self.item[where], np.repeat(doc, each), np.repeat(at, each) - self.offset[where]
-        trio, count = np.unique(np.stack([doc, item, start]), axis=1, return_counts=True)
-        trio = trio[:, count >= self.need[trio[1]]]
+        place = self.offset[where]
+        order = np.lexsort((start, item, doc))
+        doc, item, start, place = doc[order], item[order], start[order], place[order]
+        pair = np.cumsum(np.r_[0, (np.diff(doc) != 0) | (np.diff(item) != 0)])
+        keep = self.aligned(pair, item, start)
+        if not keep.any():
+            return []
+        # a run lies in the piece of its first word and in that of its last
+        pieces = np.stack([self.piece(item[keep], place[keep]), self.piece(item[keep], place[keep] + GRAM - 1)])
+        every = np.stack([*(np.tile(x[keep], 2) for x in (doc, item, start)), pieces.reshape(-1)])
+        doc, item, start, piece = np.unique(every, axis=1)
+        near = np.zeros(len(doc), bool)
+        for a in range(0, len(doc), 2048):
+            x = slice(a, a + 2048)
+            rows = cut(h, start[x] + self.start[piece[x]], self.size[piece[x]], bounds[doc[x]], bounds[doc[x] + 1])
+            near[x] = (embed(rows, self.size[piece[x]]) == self.keys[piece[x]]).any(1)
         out: dict[tuple[int, int], tuple] = {}
-        for a in range(0, trio.shape[1], 2048):
-            doc, item, start = trio[:, a : a + 2048]
-            near = (embed(cut(h, start, self.n[item], bounds[doc], bounds[doc + 1]), self.n[item]) == self.keys[item]).any(1)
-            for x in np.flatnonzero(near):
-                d, i, s, k = doc[x], item[x], start[x], self.k[item[x]]
-                if (d, i) in out and out[d, i][4] == 0:
-                    continue
-                first = max(s - k, bounds[d])
-                dist, end = edit_distance(self.words[i], h[first : min(s + self.n[i] + k, bounds[d + 1])])
+        doc, item, start = np.unique(np.stack([doc, item, start])[:, near], axis=1)
+        a = 0
+        while a < len(doc):  # alignments that lie at most k apart are verified together
+            d, i, n, k = doc[a], item[a], self.n[item[a]], self.k[item[a]]
+            b = a + 1
+            while b < len(doc) and (doc[b], item[b]) == (d, i) and start[b] - start[b - 1] <= k and start[b] - start[a] <= _REACH:
+                b += 1
+            if (d, i) not in out or out[d, i][4]:
+                first = max(start[a] - k, bounds[d])
+                region = h[first : min(start[b - 1] + n + k, bounds[d + 1])]
+                dist, end = edit_distance(self.words[i], region)
                 if dist <= k and ((d, i) not in out or dist < out[d, i][4]):
-                    out[d, i] = (int(d), int(i), int(max(s, bounds[d]) - bounds[d]), int(first + end - max(s, bounds[d])), dist)
+                    size = edit_distance(self.words[i][::-1], region[max(0, end - n - k) : end][::-1])[1] if dist else int(n)
+                    out[d, i] = (int(d), int(i), int(first + end - size - bounds[d]), size, dist)
+            a = b
         return list(out.values())
 
 

@@ -176,6 +176,28 @@ def test_decontamination_at_the_ends_of_documents(n):
         assert len(found(items, [place(w) for w in items])) >= 19, name
 
 
+@pytest.mark.parametrize("n", [15, 20, 29, 40, 60, 90, 120, 200, 300])
+@pytest.mark.parametrize("kind", ["replaced", "mixed", "deleted"])
+def test_decontamination_recall_at_the_bound(n, kind):
+    rnd = random.Random(n)
+    some = lambda k: [f"w{rnd.randrange(3000)}" for _ in range(k)]
+    items, texts = [some(n) for _ in range(60)], []
+    for w in items:
+        w = list(w)
+        for at in sorted(rnd.sample(range(n), int(0.15 * n)), reverse=True):
+            changes = {"replaced": [["new"]], "deleted": [[]], "mixed": [[], ["new"], [w[at], "new"]]}[kind]
+            w[at : at + 1] = rnd.choice(changes)
+        texts.append(some(40) + w + some(60))
+    assert len(found(items, texts)) >= 57
+
+
+def test_decontamination_gives_the_place(spark):
+    rows = [(1, "a b c d e new f g h i j k l m n o p q"), (2, "x y z c d e f g h i j k l m n o p r")]
+    item = [(7, "c d e f g h i j k l m n o p")]
+    got = decontamination.find(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(item, "item_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == [(1, 7, 2, 15, 1), (2, 7, 3, 14, 0)]
+
+
 def test_quality_rules(docs, none):
     got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
     for i, t, *_ in corpus():
