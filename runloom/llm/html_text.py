@@ -1,11 +1,13 @@
 """HTML extraction by two-pass block rules.
 
-A page is cut into blocks at block-level tags. Pass 1 decides each block by itself from the share of stop words,
-its length and its link density, within what the markup says: blocks in navigation, footers, asides, forms and containers
-whose class or id names boilerplate are bad, and where the page has an article (or else a main) element, blocks outside it are bad and
-blocks inside it are good. Elsewhere a block is bad with many links, good when long with many stop words, bad
-when long with few, and otherwise ambiguous. Pass 2 gives ambiguous blocks the label of the nearest decided
-neighbours: good where both sides are good, or the nearer one is; headings look to the block after them.
+A page is cut into blocks at block-level tags. Blocks in navigation, footers, asides, forms, hidden elements and containers whose
+class or id names boilerplate are bad. Pass 1 decides every other block from the share of stop words, its length and its link
+density: bad with many links, good when long with many stop words, bad when long with few, and otherwise ambiguous. The
+article (or else main) element is a vote beside that: inside it, few stop words make a block ambiguous only; outside it,
+only long text with many stop words is good at once. The vote is void where such text outside outweighs the text inside.
+Pass 2 gives ambiguous blocks the label of the nearest decided neighbours: good where both sides are good, or the nearer one
+is; where the sides differ, the vote decides; headings look to the block after them. Inside the article only its own blocks
+are neighbours, and it is good where none is decided.
 
 Defined results: null, empty and text-free pages give empty text; unclosed tags, stray "<", unknown references and
 unclosed comments or scripts don't fail (an unclosed comment or script hides the rest); rows with null ids or urls
@@ -157,40 +159,76 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
+def votes(found: list[Block], bad: list[bool], rules: list[bool | None]) -> list[int]:
+    """What the markup says of each block: 1 inside the article (or else main) element, -1 outside, 0 nothing."""
+    fine = [b for b, x in zip(found, bad) if not x]
+    article = any(b.article for b in fine)
+    if not article and not any(b.main for b in fine):
+        return [0] * len(found)
+    vote = [1 if b.article or not article and b.main else 0 if b.main else -1 for b in found]
+    inside = sum(len(b.text) for b, x, v in zip(found, bad, vote) if not x and v > 0 and b.linked <= MAX_LINKS * len(b.text))
+    outside = sum(len(b.text) for b, x, v, r in zip(found, bad, vote, rules) if not x and v < 1 and r and len(b.text) > LONG)
+    return [0] * len(found) if outside > inside else vote
+
+
+def by_rules(b: Block) -> bool | None:
+    """Pass 1 for a block by itself, whatever the markup says."""
+    n = len(b.text)
+    words = b.text.lower().split()
+    stop = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / max(1, len(words))
+    if b.linked > MAX_LINKS * n:
+        return None if b.heading else False
+    if n < SHORT:
+        return None
+    if stop >= MANY_STOP or n > LONG and stop >= SOME_STOP:
+        return True
+    return None if stop >= SOME_STOP else False
+
+
+def nearest(label: list[bool | None]) -> list[tuple[bool | None, int]]:
+    """The last decided label up to each block, and how far back it is."""
+    out: list[tuple[bool | None, int]] = []
+    last, gap = None, 1 << 60
+    for x in label:
+        last, gap = (x, 0) if x is not None else (last, gap + 1)
+        out.append((last, gap))
+    return out
+
+
 def classify(found: list[Block]) -> list[bool]:
     """Whether each block belongs to the main text."""
-    fine = [b for b in found if not b.bad]
-    inside = "article" if any(b.article for b in fine) else "main" if any(b.main for b in fine) else None
+    bad = [b.bad for b in found]
+    rules = [by_rules(b) for b in found]
+    vote = votes(found, bad, rules)
     label: list[bool | None] = []
-    for b in found:  # pass 1
-        n = len(b.text)
-        words = b.text.lower().split()
-        stop = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / max(1, len(words))
-        if b.bad:
-            label.append(False)
-        elif inside:
-            label.append(getattr(b, inside))
-        elif b.linked > MAX_LINKS * n:
+    for b, x, v, r in zip(found, bad, vote, rules):  # pass 1
+        linked = b.linked > MAX_LINKS * len(b.text)
+        if x:
             label.append(False)
-        elif n < SHORT:
-            label.append(None)
-        elif stop >= MANY_STOP or n > LONG and stop >= SOME_STOP:
-            label.append(True)
+        elif v > 0:
+            label.append(None if r is False and not linked else r)
         else:
-            label.append(None if stop >= SOME_STOP else False)
-    before: list[tuple[bool, int]] = []
-    last, gap = False, 1 << 60
-    for x in label:  # pass 2
-        last, gap = (x, 0) if x is not None else (last, gap + 1)
-        before.append((last, gap))
-    after, gap = False, 1 << 60
-    for i in range(len(label) - 1, -1, -1):
-        x = label[i]
-        after, gap = (x, 0) if x is not None else (after, gap + 1)
-        if x is None:
-            left, far = before[i]
-            label[i] = after if found[i].heading else left if left == after else (after if gap < far else left)
-    return [bool(x) for x in label]
+            label.append(None if v < 0 and r and len(b.text) <= LONG else r)
+    out = [bool(x) for x in label]
+    for inner in (True, False):  # pass 2
+        among = [i for i in range(len(found)) if (vote[i] > 0 and not bad[i]) or not inner]
+        here = [label[i] for i in among]
+        ends = zip(among, nearest(here), reversed(nearest(here[::-1])))
+        for i, (left, far), (right, gap) in ends:
+            if label[i] is not None or (vote[i] > 0) != inner:
+                continue
+            if inner and left is None and right is None:
+                out[i] = True
+            elif found[i].heading:
+                out[i] = inner if right is None else right
+            elif inner:
+                out[i] = left is not False or right is not False
+            elif vote[i] < 0:
+                out[i] = bool(left and right)
+            else:  # past the ends of the page nothing is good
+                out[i] = bool(left if left == right or gap >= far else right)
+        label = [x if x is not None or (v > 0) != inner else y for x, y, v in zip(label, out, vote)]
+    return out
 
 
 def main_text(page: str | None) -> str:

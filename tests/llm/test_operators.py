@@ -255,6 +255,23 @@ def test_html_rules_without_article():
     assert html_text.main_text(page).split("\n") == ["Title", long.strip(), "Yes.", long.strip()]
 
 
+LONG_TEXT = ("the house of the man and the garden in it was " * 6).strip()
+
+
+def test_html_rules_with_article():
+    # main text beside a teaser in an article
+    page = f"<article><h3>More</h3><p>See it.</p></article><div><h1>Title</h1><p>{LONG_TEXT}</p><p>Yes.</p><p>{LONG_TEXT}</p></div>"
+    text = html_text.main_text(page).split("\n")
+    assert text[-4:] == ["Title", LONG_TEXT, "Yes.", LONG_TEXT]
+    # links inside an article go, with their heading; text in an unknown language and a linked title stay
+    menu = "".join(f"<li><a href=x>Story number {i}</a></li>" for i in range(4))
+    foreign = "слово " * 40
+    page = f"<article><h1><a href=x>Title</a></h1><p>{LONG_TEXT}</p><p>{foreign}</p><p>Yes.</p><p>{LONG_TEXT}</p><h2>See too</h2><ul>{menu}</ul></article><p>Short end.</p>"
+    assert html_text.main_text(page).split("\n") == ["Title", LONG_TEXT, foreign.strip(), "Yes.", LONG_TEXT]
+    page = f"<article><p>{foreign}</p></article><p>{LONG_TEXT[:100]}</p><p>Call us.</p>"
+    assert html_text.main_text(page) == foreign.strip()
+
+
 def test_url_filters(spark):
     urls = [f"https://Shop{i % 3}.example.net/x/{i}" for i in range(60)] + [f"http://a{i}.org/fr/{i}" for i in range(60)]
     urls += ["https://new.example.com/x/5", "http://sub.example.com/de/1?q=1", "http://example.net/en/z", "no url", None, "http://notexample.com/de/x", "://h"]
