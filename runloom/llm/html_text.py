@@ -1,7 +1,8 @@
 """HTML extraction by two-pass block rules.
 
 A page is cut into blocks at block-level tags. Blocks in navigation, footers, asides, forms, hidden elements and containers whose
-class or id names boilerplate are bad. Pass 1 decides every other block from the share of stop words, its length and its link
+class or id names boilerplate (as a whole or by its end, as in site-footer, not as in with-sidebar or entry-header) are bad;
+but a name around the page's only article or main element, or on its only long text with many stop words, is passed over. Pass 1 decides every other block from the share of stop words, its length and its link
 density: bad with many links, good when long with many stop words, bad when long with few, and otherwise ambiguous. The
 article (or else main) element is a vote beside that: inside it, few stop words make a block ambiguous only; outside it,
 only long text with many stop words is good at once. The vote is void where such text outside outweighs the text inside.
@@ -43,6 +44,10 @@ BAD_NAMES = frozenset(
     "disclaimer disqus foot footer footnav head header masthead menu modal nav navbar navigation newsletter notice notices overlay popup "
     "promo promotion related respond share sharing sidebar social sponsor sponsored subscribe subscription toolbar topbar widget".split()
 )
+# Parts of a name that turn its meaning, that make a header the text's own, and that say nothing after another part.
+NO_PARTS = frozenset("no not non with without has hide".split())
+OWN_PARTS, OWN_HEADERS = frozenset("entry article post".split()), frozenset("head header banner masthead".split())
+PLACE_PARTS = frozenset("list area box slot block section left right top bottom".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 STOP_WORDS = frozenset(
     "the of and to a in that is was it for on with as be by this are from or at an not but have which they you his her we "
@@ -68,24 +73,36 @@ class Block:
     text: str
     linked: int
     bad: bool
+    named: int  # a class or id names boilerplate: 0 none, 1 only around the article or main element, 2 within or without one
     article: bool
     main: bool
     heading: bool
 
 
-def names_boilerplate(attrs: str) -> bool:
-    if not attrs or not attrs.strip():
-        return False
-    if _HIDDEN.search(attrs):
+def bad_name(name: str) -> bool:
+    """Whether a class or id names boilerplate, as a whole or by its end."""
+    if name in BAD_NAMES:
         return True
+    parts = [x for x in re.split(r"[-_]+", name) if x]
+    while len(parts) > 1 and (parts[-1] in PLACE_PARTS or parts[-1].isdigit()):
+        parts.pop()
+    if not parts or parts[-1] not in BAD_NAMES or NO_PARTS.intersection(parts):
+        return False
+    return not (parts[-1] in OWN_HEADERS and OWN_PARTS.intersection(parts))
+
+
+def names_boilerplate(attrs: str) -> tuple[bool, bool]:
+    """Whether an element is hidden or has a role of boilerplate, and whether a class or id names it so."""
+    if not attrs or not attrs.strip():
+        return False, False
+    hard, soft = bool(_HIDDEN.search(attrs)), False
     for kind, *values in _NAMED.findall(attrs):
         for name in "".join(values).lower().split():
             if kind.lower() == "role":
-                if name in BAD_ROLES:
-                    return True
-            elif name in BAD_NAMES or any(x in BAD_NAMES for x in re.split(r"[-_]+", name)):
-                return True
-    return False
+                hard = hard or name in BAD_ROLES
+            else:
+                soft = soft or bad_name(name)
+    return hard, soft
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -93,17 +110,20 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     text: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool]] = []  # open elements, and whether they are boilerplate
+    stack: list[tuple[str, bool, bool]] = []  # open elements, and whether they are boilerplate, by themselves and by name
     depth: dict[str, int] = {}
-    bad = 0
+    bad = named = 0
+    around = 0  # boilerplate names around the outermost article or main element
 
     def end_block() -> None:
         nonlocal linked
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
+                holds = depth.get("article") or depth.get("main")
+                names = 0 if not named else 1 if holds and named == around else 2
                 heading = any(depth.get(f"h{i}") for i in range(1, 7))
-                out.append(Block(whole, linked, bad > 0, bool(depth.get("article")), bool(depth.get("main")), heading))
+                out.append(Block(whole, linked, bad > 0, names, bool(depth.get("article")), bool(depth.get("main")), heading))
             text.clear()
         linked = 0
 
@@ -114,11 +134,12 @@ def blocks_of(page: str) -> list[Block]:
             linked += len(x)
 
     def close(tag: str) -> None:
-        nonlocal bad
+        nonlocal bad, named
         while stack:
-            name, was_bad = stack.pop()
+            name, was_bad, was_named = stack.pop()
             depth[name] -= 1
             bad -= was_bad
+            named -= was_named
             if name == tag:
                 return
 
@@ -149,10 +170,14 @@ def blocks_of(page: str) -> list[Block]:
         attrs = m["attrs"] or ""
         inner = bool(depth.get("article"))
         mine = tag in BAD_TAGS or tag == "header" and not inner
-        mine = mine or tag not in ("body", "html", "article", "main") and bool(attrs) and names_boilerplate(attrs)
-        stack.append((tag, mine))
+        hard, soft = names_boilerplate(attrs) if tag not in ("body", "html", "article", "main") else (False, False)
+        if tag in ("article", "main") and not depth.get("article") and not depth.get("main"):
+            around = named
+        mine = mine or hard
+        stack.append((tag, mine, soft))
         depth[tag] = depth.get(tag, 0) + 1
         bad += mine
+        named += soft
     if at < len(page):
         add(page[at:])
     end_block()
@@ -197,8 +222,18 @@ def nearest(label: list[bool | None]) -> list[tuple[bool | None, int]]:
 
 def classify(found: list[Block]) -> list[bool]:
     """Whether each block belongs to the main text."""
-    bad = [b.bad for b in found]
     rules = [by_rules(b) for b in found]
+    # a name around the only article or main element doesn't make it bad
+    own = any((b.article or b.main) and not b.bad and not b.named for b in found)
+    bad = [b.bad or b.named > (0 if own else 1) for b in found]
+    out = decide(found, bad, rules)
+    if not any(out) and any(b.named for b in found):  # nor does it void the only long text with many stop words
+        out = decide(found, [b.bad or bool(b.named) and not (r and len(b.text) > LONG) for b, r in zip(found, rules)], rules)
+    return out
+
+
+def decide(found: list[Block], bad: list[bool], rules: list[bool | None]) -> list[bool]:
+    """Both passes, given which blocks the markup makes bad."""
     vote = votes(found, bad, rules)
     label: list[bool | None] = []
     for b, x, v, r in zip(found, bad, vote, rules):  # pass 1

@@ -272,6 +272,21 @@ def test_html_rules_with_article():
     assert html_text.main_text(page) == foreign.strip()
 
 
+@pytest.mark.parametrize("attrs", ["class='content with-sidebar'", "class=no-sidebar", "id='page-header-wrap'", "class='layout widget'"])
+def test_html_names_around_the_article(attrs):
+    page = f"<div {attrs}><article><div class='entry-header'><h1>Title</h1></div><p>{LONG_TEXT}</p><div class='ad-box'>Buy</div></article></div>"
+    assert html_text.main_text(page).split("\n") == ["Title", LONG_TEXT]
+
+
+def test_html_names_of_boilerplate():
+    assert all(map(html_text.bad_name, "ad site-footer nav_menu comments-area post-comments ad-slot-3 sidebar-left article-ad".split()))
+    assert not any(map(html_text.bad_name, "no-sidebar has-sidebar with-nav entry-header article-header page-header-wrap content".split()))
+    other = LONG_TEXT.replace("house", "ship")
+    page = f"<article><p>{LONG_TEXT}</p></article><section class=comments><article><p>{other}</p></article></section><div class=sidebar><p>{other}</p></div>"
+    assert html_text.main_text(page) == LONG_TEXT
+    assert html_text.main_text(f"<div class=widget><p>{LONG_TEXT}</p></div><div class=ad>Buy</div>") == LONG_TEXT
+
+
 def test_url_filters(spark):
     urls = [f"https://Shop{i % 3}.example.net/x/{i}" for i in range(60)] + [f"http://a{i}.org/fr/{i}" for i in range(60)]
     urls += ["https://new.example.com/x/5", "http://sub.example.com/de/1?q=1", "http://example.net/en/z", "no url", None, "http://notexample.com/de/x", "://h"]
