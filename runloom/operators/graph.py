@@ -27,13 +27,22 @@ def drop_forward_refs(steps: DataFrame) -> DataFrame:
     return steps.select(*(keep(c) if c in refs else F.col(c) for c in steps.columns))
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder that the cluster names, its lineage cut."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir("/tmp/runloom-checkpoints")
+    return df.checkpoint()
+
+
 def antecedents(steps: DataFrame) -> DataFrame:
     """(trace_id, step_number, antecedent, link): the cause where it exists, else the parent, else the nearest earlier decision."""
     rows = prior_decision(drop_forward_refs(steps))
-    there = F.collect_set("step_number").over(Window.partitionBy("trace_id"))
-    rows = rows.withColumn("__there", there)
-    cause = F.array_contains("__there", F.col("caused_by_step_number"))
-    parent = F.array_contains("__there", F.col("parent_step_number"))
+    have = steps.select("trace_id", "step_number").distinct()
+    for flag, ref in (("__cause", "caused_by_step_number"), ("__parent", "parent_step_number")):
+        there = have.select("trace_id", F.col("step_number").alias(ref), F.lit(True).alias(flag))
+        rows = rows.join(there, ["trace_id", ref], "left")
+    cause, parent = F.col("__cause"), F.col("__parent")
     number = F.when(cause, F.col("caused_by_step_number")).when(parent, F.col("parent_step_number")).otherwise(F.col("prior_decision"))
     link = F.when(cause, "caused_by").when(parent, "parent").when(F.col("prior_decision").isNotNull(), "decision")
     return rows.select("trace_id", "step_number", number.alias("antecedent"), link.alias("link"))
@@ -42,21 +51,26 @@ def antecedents(steps: DataFrame) -> DataFrame:
 def causal_walk(steps: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """(trace_id, hop, step_number, link) from each trace's last step, or from start (trace_id, step_number), back to the first cause.
 
-    References point strictly backwards, so one pass down the sorted steps of a trace follows the whole chain.
+    References point strictly backwards. Pointers are doubled: after r rounds of equi-joins the chains hold their first 2**r
+    steps, so the rounds grow with the logarithm of the longest chain and no trace is gathered into one row.
     """
-    one = F.struct("step_number", "antecedent", "link")
-    nested = antecedents(steps).groupBy("trace_id").agg(F.sort_array(F.collect_list(one), asc=False).alias("s"))
+    own = F.max(F.struct("antecedent", "link")).alias("x")
+    ante = _cut(antecedents(steps).groupBy("trace_id", "step_number").agg(own).select("trace_id", "step_number", "x.*"))
     if start is None:
-        nested = nested.withColumn("at", F.col("s")[0]["step_number"])
-    else:
-        nested = nested.join(start.withColumnRenamed("step_number", "at"), "trace_id")
-    none = F.array().cast("array<struct<step_number:int,antecedent:int,link:string>>")
-    state = F.struct(F.col("at").alias("at"), none.alias("path"))
-    step = lambda acc, x: F.when(
-        x["step_number"] == acc["at"], F.struct(x["antecedent"].alias("at"), F.concat(acc["path"], F.array(x)).alias("path"))
-    ).otherwise(acc)
-    walked = nested.select("trace_id", F.posexplode(F.aggregate("s", state, step)["path"]).alias("hop", "x"))
-    return walked.select("trace_id", "hop", "x.step_number", "x.link")
+        start = ante.groupBy("trace_id").agg(F.max("step_number").alias("step_number"))
+    reached = start.select("trace_id", "step_number", F.lit(0).alias("hop"))
+    jump = ante.where("antecedent is not null").select("trace_id", "step_number", F.col("antecedent").alias("to"))
+    size = 1  # each jump leads over so many steps
+    while True:
+        new = reached.join(jump, ["trace_id", "step_number"])
+        new = _cut(new.select("trace_id", F.col("to").alias("step_number"), (F.col("hop") + size).alias("hop")))
+        if new.isEmpty():
+            break
+        reached = reached.union(new)
+        on = jump.select("trace_id", F.col("step_number").alias("to"), F.col("to").alias("__to"))
+        jump = _cut(jump.join(on, ["trace_id", "to"]).select("trace_id", "step_number", F.col("__to").alias("to")))
+        size *= 2
+    return reached.join(ante, ["trace_id", "step_number"]).select("trace_id", "hop", "step_number", "link")
 
 
 def step_tree(steps: DataFrame) -> DataFrame:

@@ -90,17 +90,21 @@ def eval_completeness(traces: DataFrame, steps: DataFrame) -> DataFrame:
 
 def eval_hallucination(traces: DataFrame, steps: DataFrame) -> DataFrame:
     err = F.col("error").isNotNull() | (F.col("step_type") == "error")
-    found = F.collect_set(F.when(F.col("step_type") == "retrieval", F.col("output")))
+    found = F.count_if((F.col("step_type") == "retrieval") & F.col("output").isNotNull())
+    words = lambda x: F.array_distinct(F.filter(F.split(F.lower(x), r"\W+"), lambda w: F.length(w) > 4))
+    # the words that an output shares with its trace's retrievals are counted by a join, not gathered
+    own = traces.select(F.col("id").alias("trace_id"), F.explode(words(F.coalesce("output", F.lit('""')))).alias("word"))
+    theirs = steps.where("step_type = 'retrieval'").select("trace_id", F.explode(words(F.col("output"))).alias("word")).distinct()
+    shared = own.join(theirs, ["trace_id", "word"]).groupBy("trace_id").agg(F.count("*").alias("shared"))
     rows = _with_steps(
         traces.select("id", "output", "status", F.col("error").alias("trace_error")), steps,
         F.count("*").alias("n"), F.count_if(err).alias("errors"), found.alias("found"),
-    )
+    ).join(shared, "trace_id", "left")
     out = F.coalesce("output", F.lit('""'))
     hedges = sum((F.when(out.rlike(f"(?i){h}"), 1).otherwise(0) for h in HEDGES), F.lit(0))
-    words = lambda x: F.array_distinct(F.filter(F.split(F.lower(x), r"\W+"), lambda w: F.length(w) > 4))
-    own, theirs = words(out), words(F.array_join("found", " "))
-    share = F.when(F.size(own) == 0, 1.0).otherwise(F.size(F.array_intersect(own, theirs)) / F.greatest(F.size(own), F.lit(1)))
-    grounded = F.when(F.coalesce(F.size("found"), F.lit(0)) < 1, 1.0).otherwise(F.least(share * 2, F.lit(1.0)))
+    n_own = F.size(words(out))
+    share = F.when(n_own == 0, 1.0).otherwise(F.coalesce("shared", F.lit(0)) / F.greatest(n_own, F.lit(1)))
+    grounded = F.when(F.coalesce("found", F.lit(0)) < 1, 1.0).otherwise(F.least(share * 2, F.lit(1.0)))
     bad = F.col("trace_error").isNotNull() | F.col("status").isin("failed", "timeout") | ((F.col("n") > 0) & (F.col("errors") == F.col("n")))
     return _result(
         rows,

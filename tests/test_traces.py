@@ -61,6 +61,29 @@ def test_tree_shows_each_step_once(spark):
     assert max(r.depth for r in got if r.trace_id == "chain") == 298
 
 
+def test_long_traces_are_not_gathered(spark):
+    n = 300
+    rows = [("chain", i, "tool_call", i - 1 or None, None, None) for i in range(1, n)]
+    rows += [("odd", 1, "decision", None, None, None), ("odd", 2, "x", 9, 7, None), ("odd", 3, "x", 1, 2, None), ("odd", 4, "x", 2, 8, None)]
+    schema = "trace_id string, step_number int, step_type string, parent_step_number int, caused_by_step_number int, output string"
+    steps = spark.createDataFrame(rows, schema)
+    ante = graph.antecedents(steps)
+    assert {(r.step_number, r.antecedent, r.link) for r in ante.collect() if r.trace_id == "odd"} == {
+        (1, None, None), (2, 1, "decision"), (3, 2, "caused_by"), (4, 2, "parent")
+    }
+    walk = graph.causal_walk(steps)
+    got = sorted(map(tuple, walk.collect()))
+    assert got[: n - 1] == [("chain", h, n - 1 - h, "parent" if h < n - 2 else None) for h in range(n - 1)]
+    assert got[n - 1 :] == [("odd", 0, 4, "parent"), ("odd", 1, 2, "decision"), ("odd", 2, 1, None)]
+    begun = graph.causal_walk(steps, spark.createDataFrame([("odd", 3), ("odd", 99)], "trace_id string, step_number int"))
+    assert [r.step_number for r in begun.orderBy("hop").collect()] == [3, 2, 1]
+    traces = spark.createDataFrame([("chain", None, "completed", None)], "id string, output string, status string, error string")
+    judged = judge.eval_hallucination(traces, steps.withColumns({"error": steps.output}))
+    for df in (ante, walk, judged):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_set" not in plan and "collect_list" not in plan
+
+
 def test_policies():
     assert "true" in str(judge.Policy("a", "deny", name_regex="(a+)+").matches())
     assert "false" in str(judge.Policy("a", "warn", name_regex="(").matches())
