@@ -2,7 +2,8 @@
 
 A text is folded (A-Z to a-z) and cut into words (runs of digits, letters and non-ASCII characters). Its blocks are
 windows of ``BLOCK`` words, one starting every ``STEP`` words, so that any passage of BLOCK - STEP + 1 words lies whole in one.
-A block matches a template when it holds at least ``threshold`` of the template's distinct words (containment).
+A block matches a template when it holds at least ``threshold`` of the template's distinct words (containment), and all of its
+words that name the license (``NAMING``).
 
 The join is exact. Template words are ordered by the number of documents that hold them, rarest first. A template of m words
 of which t are needed is indexed by its first m - t + 1 words only (prefix filter): a matching block must hold one of
@@ -44,6 +45,12 @@ TEMPLATES = (
     ("reserved", "no part of this publication may be reproduced without the prior written permission of the publisher"),
 )
 
+# Words by which a license is told from others, by label: a block matches only with those of them that its template has.
+NAMING = {
+    "apache": "apache", "mit": "mit", "gpl": "gnu general", "lgpl": "lesser", "mpl": "mozilla",
+    "cc-by": "creative commons attribution", "cc-by-nc": "cc by nc",
+}
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -84,7 +91,8 @@ def scan(
     index = []
     for label, t in sets:
         t, need = sorted(t, key=rank.get), max(1, math.ceil(threshold * len(t) - 1e-9))
-        index += [(w, i, label, need, t) for i, w in enumerate(t[: len(t) - need + 1])]
+        must = [w for w in NAMING.get(label, "").split() if w in t]
+        index += [(w, i, label, need, t, must) for i, w in enumerate(t[: len(t) - need + 1])]
     prefix = sorted({x[0] for x in index})
 
     padded = F.concat(F.lit(" "), F.col("s"), F.lit(" "))
@@ -105,10 +113,11 @@ def scan(
     block = base.where("words is not null").select(
         "doc_id", F.explode(F.transform(starts, lambda i: F.array_intersect(F.lit(order), F.slice("words", i + 1, BLOCK)))).alias("held")
     )
-    table = spark.createDataFrame(index, "word string, i int, label string, need int, tokens array<string>")
+    table = spark.createDataFrame(index, "word string, i int, label string, need int, tokens array<string>, must array<string>")
     hits = block.select("doc_id", "held", F.size("held").alias("b"), F.posexplode("held").alias("j", "word")).join(table, "word")
     hits = hits.where("b >= need and 1 + least(size(tokens) - i - 1, b - j - 1) >= need")
     hits = hits.withColumn("overlap", F.size(F.array_intersect("held", "tokens"))).where("overlap >= need")
+    hits = hits.where("size(array_except(must, held)) = 0")
     hits = hits.groupBy("doc_id").agg(
         F.collect_set("label").alias("more"), F.max(F.col("overlap") / F.size("tokens")).alias("best")
     )

@@ -89,6 +89,18 @@ def test_license_scan(spark):
             assert want <= set(by[doc, len(w)].labels.split(","))
 
 
+def test_license_scan_needs_the_naming_words(spark):
+    rows = [
+        ("Licensed under CC BY 4.0", ""), ("released under the Apache License", ""), ("Released under the licence of the river, the license", ""),
+        ("under the terms of the GNU General Public License as published by the Free Software Foundation", ""),
+        ("licensed under CC BY NC 4.0", "cc-by-nc"), ("under CC-BY-NC 4.0 licensed", "cc-by-nc"),
+        ("under the Apache License, Version 2.0", "apache"), ("released under an MIT license", "mit"),
+    ]
+    got = license_scan.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")).collect()
+    more = {r.doc_id: ",".join(sorted(set(r.labels.split(",")) - set(r.base_labels.split(",")))) for r in got}
+    assert more == {i: label for i, (_, label) in enumerate(rows)}
+
+
 def test_mixing(docs, none):
     got = mixing.mix(docs).collect()
     again = mixing.mix(docs.repartition(7)).collect()
