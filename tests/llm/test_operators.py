@@ -132,8 +132,11 @@ def test_fit_budget_is_exact_where_it_can_be():
         assert int(length @ take) == best
 
 
+FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def words_of(t):
-    return re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+    return re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(FOLD))
 
 
 def test_decontamination_recall(spark, none):
@@ -312,20 +315,30 @@ def test_url_filters(spark):
     assert url_filters.judge(df.limit(0)).count() == 0
 
 
+def one_edit_within(a, b):
+    """Brute force: every edit of one word that the bound allows, tried in turn."""
+    size = lambda w: sum(len(x.encode()) for x in w)
+    fits = lambda w: {i for i, x in enumerate(w) if len(x.encode()) <= line_dedup.SHARE * size(w)}
+    less = lambda w: {(i, tuple(w[:i] + w[i + 1 :])) for i in fits(w)}
+    if a == b or abs(len(a) - len(b)) > 1:
+        return a == b
+    return bool(less(a) & less(b)) or tuple(a) in {x for _, x in less(b)} or tuple(b) in {x for _, x in less(a)}
+
+
 def test_line_dedup(spark, none):
     rnd = random.Random(9)
-    base = [" ".join(rnd.choices(WORDS, k=rnd.randint(3, 25))) for _ in range(25)]
+    base = [" ".join(rnd.choices([*WORDS, "x", "I", "é"], k=k)) for k in [1, 2, 3, 4, 5, 6, 8, *(rnd.randint(3, 25) for _ in range(25))]]
     rows = []
-    for d in range(40):
+    for d in range(60):
         lines = []
-        for _ in range(rnd.randint(0, 8)):
+        for _ in range(rnd.randint(0, 9)):
             w = rnd.choice(base).split()
             if rnd.random() < 0.6:
                 at = rnd.randrange(len(w))
-                w[at : at + 1] = rnd.choice([[], ["Zed"], [w[at], "zed"], [w[at].upper()]])
+                w[at : at + 1] = rnd.choice([[], ["Zed"], [w[at], "zed"], [w[at].upper()], ["q"], [w[at], "I"]])
             lines.append(" ".join(w))
         rows.append((d, "\n".join(lines + [""] * rnd.randint(0, 2)), "s", "x", "k"))
-    rows += [(50, None, "s", "x", "k"), (None, base[0], "s", "x", "k")]
+    rows += [(70, None, "s", "x", "k"), (None, base[0], "s", "x", "k"), (71, "solo " * 30000, "s", "x", "k"), (72, "", "s", "x", "k")]
     earlier, want = [], {}
     for d, t, *_ in rows:
         if d is None or t is None:
@@ -334,8 +347,7 @@ def test_line_dedup(spark, none):
         kept = []
         for line in t.split("\n"):
             w = words_of(line)
-            near = lambda x: x == w or min(len(x), len(w)) >= 10 and line_dedup.one_edit(np.array(x), np.array(w))
-            if not w or not any(near(x) for x in earlier):
+            if not w or not any(one_edit_within(x, w) for x in earlier):
                 kept.append(line)
             if w:
                 earlier.append(w)
@@ -346,6 +358,17 @@ def test_line_dedup(spark, none):
     assert line_dedup.deduplicate(none, counts=True).count() == 0
 
 
+def test_line_dedup_repeated_ids_and_clashing_names(spark):
+    rows = [(1, "a b c d e f g h\nother line here", 9), (1, "second text\nother line here", 9), (2, "a b c d e f g h\nkeep me now", 9), (3, "twice", 9), (3, "twice", 9)]
+    got = line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id int, text string, n_lines int"), counts=True)
+    assert got.columns == ["doc_id", "text", "n_lines", "n_dropped"]
+    assert sorted(map(tuple, got.collect())) == [
+        (1, "a b c d e f g h\nother line here", 2, 0), (1, "second text", 2, 1), (2, "keep me now", 2, 1), (3, "twice", 1, 0), (3, "twice", 1, 0)
+    ] or sorted(map(tuple, got.collect())) == [
+        (1, "a b c d e f g h", 2, 1), (1, "second text\nother line here", 2, 0), (2, "keep me now", 2, 1), (3, "twice", 1, 0), (3, "twice", 1, 0)
+    ]
+
+
 @pytest.mark.parametrize("version", ["1", "2"])
 def test_archives(spark, version):
     rows = [(i, f"http://h/{i} x é" if i % 2 else None, f"<p>{i % 4}</p>\r\n\r\n<b>é</b>\n" if i % 5 else None) for i in range(30)] + [(None, "u", "own")]
