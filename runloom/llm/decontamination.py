@@ -3,23 +3,24 @@
 Symbols are folded words. An item of n words is found where a stretch of a document is within k = floor(edits * n) word
 insertions, deletions and replacements. The stages, for every document over its whole text:
 
-1. Aligned 3-word runs. An occurrence within k edits keeps at least n - 2 - 3k of the item's 3-word runs, in at most k + 1
-   alignments that lie at most k apart. So one alignment keeps ceil((n - 2 - 3k) / (k + 1)) of them, and those within k of it
-   together n - 2 - 3k: what keeps fewer is passed over without loss.
-2. CGK random walks over pieces. An item is dealt into pieces of about ``PIECE`` words; one of them holds no more than its share
-   of the k edits, however long the item is, so the recall doesn't fall with the length. A piece is compared with the document's
-   words at its own places in each alignment that keeps a run of it. A pointer walks over a piece of m words for 2m steps;
-   each step emits the word under the pointer, which moves on where a random function of step and word says so. Equal walks
-   drift together again after an edit, so few edits mean few differing steps. ``REPEATS`` walks with functions of their own
-   are sampled at ``BITS`` steps each; an alignment is a candidate where any sample of any piece equals the item's. Windows are
-   sampled at the piece's own steps; places before or after the document hold a symbol that is no word. With a share q of the
-   steps unequal, (1 - (1-q)**BITS)**REPEATS of the pieces are missed: 0.0001 at q = 0.5, 0.05 at q = 0.7.
-3. Exact verification by the edit distance between the item and the best stretch around the candidate alignments.
-
-The benchmark is taken in blocks of at most ``block_words`` words; each block's index is broadcast and costs one scan.
-
-Defined results: items of fewer than 3 words and null or empty texts match nothing; repeated items, item ids and documents
-each match on their own; rows with a null id are carried; other columns are ignored; an empty table on either side gives no rows.
+1. CGK random walks. From a place of a text a pointer walks over the words from there on; step j emits the word under the pointer, which moves
+   on where bit j of a random function of the word says so. Equal stretches give equal walks, and walks that an edit has set apart drift
+   together again, so few edits mean few differing steps: edit distance becomes Hamming distance.
+2. Bit sampling. ``WALKS`` walks with functions of their own are sampled at ``SYMBOLS`` steps each, the first step among them, within each of ``DEPTHS``
+   steps. Windows of an item start at each of its words, those of a document at each word that the items hold; a sample of an item counts
+   where it lies inside the item and visits at least three of its words (all, if it has fewer). A place of a document is a candidate for an item
+   where any sample equals one of the item's. Edits leave an unbroken run of at least (n - k) / (k + 1) words, over which
+   every sample that stays inside agrees, and beyond it samples agree where the walks met again: the tests hold the recall to 0.95 at exactly k edits of each kind.
+   An item without any sample inside it is sought by its first word.
+3. Exact verification: a candidate whose surroundings hold fewer than n - k of the item's words is passed over without loss; for the
+   rest, the edit distance between the item and the best stretch is computed.
+
+The benchmark is taken in blocks of at most ``block_words`` words. A block's texts are broadcast and indexed by each worker; a block costs one
+scan. Of several blocks, each is scanned and its rows written before the next is read, so that neither the driver nor a worker holds two.
+
+Defined results: null and empty items and texts match nothing; an item of one or two words is found wherever these stand, like any other;
+repeated items, item ids and documents each match on their own; rows with a null id are carried; other columns are ignored; an empty
+table on either side gives no rows. An item too long for block_words is a block of its own.
 """
 
 from __future__ import annotations
@@ -33,31 +34,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import materialise, ready
-from ._text import blocks, mix, windows, words_of
-
-EDITS, GRAM, REPEATS, BITS, PIECE = 0.15, 3, 32, 2, 20
-_MAP, _REACH = 22, 1 << 16
-
-
-def embed(rows: np.ndarray, sizes: np.ndarray, seed: int = 5) -> np.ndarray:
-    """Sample keys (len(rows) x REPEATS) of CGK walks over padded rows of word hashes, row i being sizes[i] words long."""
-    n, longest = len(rows), int(sizes.max(initial=0))
-    rows = np.concatenate([rows[:, :longest], np.zeros((n, 1), np.uint64)], axis=1)
-    base = np.arange(1, REPEATS + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
-    pick = mix(base * np.uint64(31) + np.arange(1, BITS + 1, dtype=np.uint64) + np.uint64(seed))  # REPEATS x BITS
-    share = (pick >> np.uint64(40)).astype(np.float64) / 2**24
-    at = (share[None] * (2.0 * sizes)[:, None, None]).astype(np.int64)  # most walks end after two steps a word
-    pointer, keys = np.zeros((REPEATS, n), np.int64), np.zeros((REPEATS, n), np.uint64)
-    who = np.arange(n)
-    for j in range(2 * longest):
-        live = np.minimum(pointer, sizes)
-        word = rows[who, live]
-        word = np.where(live < sizes, word, np.uint64(1))
-        hit = (at == j).sum(2).T  # REPEATS x n
-        if hit.any():
-            keys = np.where(hit > 0, mix(keys ^ (word * np.uint64(2 * j + 3))), keys)
-        pointer += (mix(word ^ (base * np.uint64(j + 1))) & np.uint64(1)).astype(np.int64)
-    return keys.T
+from ._text import blocks, mix, words_of
+
+EDITS, WALKS, DEPTHS, SYMBOLS = 0.15, 8, (4, 8, 12, 16), 4
+_REACH, _SLICE = 1 << 16, 1 << 15
+
+
+def _samples(seed: int = 5) -> list[tuple[int, tuple[int, ...], np.ndarray, np.uint64]]:
+    """(walk, steps, a factor for each step, summand) of every sample; the last is the first word alone."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for walk in range(WALKS):
+        for depth in DEPTHS:
+            steps = (0, *sorted(rng.choice(np.arange(1, depth), SYMBOLS - 1, replace=False).tolist()))
+            out.append((walk, steps, rng.integers(1, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(1, 2**63, dtype=np.uint64)))
+    out.append((0, (0,), rng.integers(1, 2**63, 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(1, 2**63, dtype=np.uint64)))
+    return out
+
+
+_SAMPLES = _samples()
+_SEEDS = [np.uint64((r + 1) * 0x9E3779B97F4A7C15 % 2**64) for r in range(WALKS)]
+
+
+def walk_keys(h: np.ndarray, at: np.ndarray, functions: list[np.ndarray]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """For each sample: its keys over the windows from these places on, and the places it visits. h has max(DEPTHS) words to spare."""
+    for walk in range(WALKS):
+        mine = [x for x in _SAMPLES if x[0] == walk]
+        used = {j for x in mine for j in x[1]}
+        place, places, symbols = at, {0: at}, {0: h.take(at)}
+        for j in range(max(DEPTHS) - 1):
+            move = functions[walk].take(place)
+            move >>= np.uint64(j)
+            move &= np.uint64(1)
+            place = place + move.view(np.int64)
+            if j + 1 in used:
+                places[j + 1], symbols[j + 1] = place, h.take(place)
+        for _, steps, factors, summand in mine:
+            key = symbols[0] * factors[0]
+            key += summand
+            for j, f in zip(steps[1:], factors[1:]):
+                key += symbols[j] * f
+            yield key, [places[j] for j in steps]
+
+
+def spare(h: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """h with words to spare, and the random function of each walk over them."""
+    h = np.concatenate([h, np.zeros(max(DEPTHS), np.uint64)])
+    return h, [mix(h ^ seed) for seed in _SEEDS]
 
 
 def edit_distance(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
@@ -73,81 +96,118 @@ def edit_distance(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
 
 
 class Index:
-    """The items of one block: words, allowed edits, 3-word runs with their places, pieces and their sample keys."""
+    """The items of one block. Only their texts are shipped; the index is built where it is first used."""
 
     def __init__(self, items: list[tuple[int | None, bytes]], edits: float = EDITS):
-        texts = [t for _, t in items]
-        h, bounds = words_of(texts)[:2]
-        kept = [i for i in range(len(items)) if bounds[i + 1] - bounds[i] >= GRAM]
-        self.ids = [items[i][0] for i in kept]
-        self.words = [h[bounds[i] : bounds[i + 1]] for i in kept]
-        self.n = np.array([len(w) for w in self.words], np.int64)
-        self.k = np.minimum(np.floor(edits * self.n).astype(np.int64), np.maximum((self.n - GRAM) // 3, 0))
-        self.kept = np.maximum(1, self.n - 2 - 3 * self.k)  # runs in all alignments of an occurrence
-        self.need = -(-self.kept // (self.k + 1))  # runs in one of them
-        grams = [windows(w, GRAM) for w in self.words]
-        g = np.concatenate([*grams, np.zeros(0, np.uint64)])
-        order = np.argsort(g, kind="stable")
-        self.grams = g[order]
-        self.item = np.repeat(np.arange(len(grams)), [len(x) for x in grams])[order]
-        self.offset = np.concatenate([*(np.arange(len(x)) for x in grams), np.zeros(0, np.int64)]).astype(np.int64)[order]
-        self.map = np.zeros(1 << _MAP, bool)
-        self.map[(self.grams & np.uint64((1 << _MAP) - 1)).astype(np.int64)] = True
-        self.pieces = np.maximum(1, self.n // PIECE)
-        self.first = np.cumsum(self.pieces) - self.pieces  # each item's first piece
-        of = np.repeat(np.arange(len(self.n)), self.pieces)
-        nth = np.arange(len(of)) - self.first[of]
-        self.start = nth * self.n[of] // self.pieces[of]  # each piece's place in its item, and its words
-        self.size = (nth + 1) * self.n[of] // self.pieces[of] - self.start
-        rows = padded([self.words[i][a : a + m] for i, a, m in zip(of, self.start, self.size)])
-        self.keys = embed(rows, self.size) if len(of) else np.zeros((0, REPEATS), np.uint64)
-
-    def piece(self, item: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """The pieces that hold the words at these places of the items."""
-        return self.first[item] + ((place + 1) * self.pieces[item] - 1) // self.n[item]
-
-    def aligned(self, pair: np.ndarray, item: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """Which of the hits (sorted by pair and start) lie within k of an alignment that may be an occurrence's."""
-        wide = np.int64(1) << 32  # pairs stay apart
-        at, k = pair * wide + start, self.k[item]
-        each = np.searchsorted(at, at, "right") - np.searchsorted(at, at, "left")
-        near = np.searchsorted(at, at + k, "right") - np.searchsorted(at, at - k, "left")
-        good = at[(each >= self.need[item]) & (near >= self.kept[item])]
-        return np.searchsorted(good, at + k, "right") > np.searchsorted(good, at - k, "left")
+        self.items, self.edits, self.keys = items, edits, None
+
+    def __getstate__(self) -> tuple:
+        return self.items, self.edits
+
+    def __setstate__(self, state: tuple) -> None:
+        self.items, self.edits, self.keys = *state, None
+
+    def build(self) -> None:
+        h, bounds = words_of([t for _, t in self.items])[:2]
+        kept = [i for i in range(len(self.items)) if bounds[i + 1] > bounds[i]]
+        self.ids = [self.items[i][0] for i in kept]
+        self.first = bounds[kept] if kept else np.zeros(0, np.int64)
+        self.n = np.array([bounds[i + 1] - bounds[i] for i in kept], np.int64)
+        self.k = np.floor(self.edits * self.n + 1e-9).astype(np.int64)
+        self.words = [h[a : a + n] for a, n in zip(self.first, self.n)]
+        self.h, item = h, np.repeat(np.arange(len(kept)), self.n)
+        at = np.arange(len(h))
+        past = (self.first + self.n)[item]
+        keys, where = [], []
+        met = np.zeros(len(kept), bool)  # items that have samples, those without edits at their first word
+        for s, (key, places) in enumerate(walk_keys(*self._padded(at))):
+            visited = 1 + sum(((b > a).astype(np.int64) for a, b in zip(places, places[1:])), np.zeros(len(at), np.int64))
+            good = (places[-1] < past) & (visited >= np.minimum(3, self.n[item]))
+            if len(places) == 1:
+                alone = key
+                continue
+            keys.append(key[good])
+            where.append(np.flatnonzero(good))
+            met[item[good & ((self.k[item] > 0) | (at == self.first[item]))]] = True
+        lone = np.flatnonzero(~met[item] & ((self.k[item] > 0) | (at == self.first[item])))
+        keys.append(alone[lone])
+        where.append(lone)
+        keys, where = np.concatenate(keys), np.concatenate(where)
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        self.item = item[where[order]].astype(np.int32)
+        self.offset = (where[order] - self.first[self.item]).astype(np.int32)
+        bits = max(12, min(27, int(len(keys)).bit_length() + 4))
+        self.shift = np.uint64(64 - bits)
+        self.map = np.zeros(1 << bits, bool)
+        self.map[(self.keys >> self.shift).astype(np.int64)] = True
+        self.starts = np.zeros(1 << 22, bool)
+        self.starts[(h >> np.uint64(42)).astype(np.int64)] = True
+
+    def _padded(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        h, functions = spare(self.h)
+        return h, at, functions
+
+    def candidates(self, h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, first word), sorted and once each, where a sample of a window equals one of an item."""
+        at = np.flatnonzero(self.starts[(h >> np.uint64(42)).astype(np.int64)])
+        found: list[np.ndarray] = []
+        padded, functions = spare(h)
+        for a in range(0, len(at), _SLICE):
+            some = at[a : a + _SLICE]
+            for key, places in walk_keys(padded, some, functions):
+                hit = np.flatnonzero(self.map[(key >> self.shift).astype(np.int64)])
+                if not len(hit):
+                    continue
+                key, place = key[hit], some[hit]
+                lo, hi = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
+                while (hi > lo).any():  # windows that many items share are expanded by turns, so that memory stays bounded
+                    each = np.minimum(hi - lo, max(1, (1 << 20) // len(lo)))
+                    row = np.repeat(lo, each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                    pos = np.repeat(place, each)
+                    found.append(np.stack([np.searchsorted(bounds, pos, "right") - 1, self.item[row], pos - self.offset[row]]))
+                    lo = lo + each
+                if sum(x.shape[1] for x in found) > 1 << 21:
+                    found = [_unique(found)]
+        return tuple(_unique(found)) if found else (np.zeros(0, np.int64),) * 3
+
+    def likely(self, doc: np.ndarray, item: np.ndarray, start: np.ndarray, h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Which candidates' surroundings may hold n - k of the item's words, by two sets of 64 bits."""
+        good = np.zeros(len(doc), bool)
+        order = np.argsort(self.n[item], kind="stable")
+        masks = [np.uint64(1) << ((x >> np.uint64(b)) & np.uint64(63)) for b in (8, 20) for x in (h,)]
+        own = [np.uint64(1) << ((self.h >> np.uint64(b)) & np.uint64(63)) for b in (8, 20)]
+        a = 0
+        while a < len(order):
+            longest = int(self.n[item[order[min(len(order), a + 4096) - 1]]])
+            x = order[a : a + max(1, min(4096, (1 << 21) // (longest + 1)))]
+            a += len(x)
+            d, i, s = doc[x], item[x], start[x]
+            n, k = self.n[i], self.k[i]
+            at = (s - k)[:, None] + np.arange(int((n + 2 * k).max()))
+            there = (at >= bounds[d][:, None]) & (at < np.minimum(s + n + k, bounds[d + 1])[:, None])
+            at = np.clip(at, 0, len(h) - 1)
+            word = self.first[i][:, None] + np.arange(int(n.max()))
+            inside = word < (self.first[i] + n)[:, None]
+            word = np.minimum(word, len(self.h) - 1)
+            for mask, bit in zip(masks, own):
+                held = np.bitwise_or.reduce(np.where(there, mask[at], np.uint64(0)), axis=1)
+                inside &= (bit[word] & held[:, None]) != 0
+            good[x] = inside.sum(1) >= n - k
+        return good
 
     def find(self, h: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text, item, first word, words, distance) of the best occurrence of each item in each text."""
-        g = windows(h, GRAM)
-        at = np.flatnonzero(self.map[(g & np.uint64((1 << _MAP) - 1)).astype(np.int64)])
-        doc = np.searchsorted(bounds, at, "right") - 1
-        inside = at + GRAM <= bounds[doc + 1]
-        at, doc = at[inside], doc[inside]
-        lo, hi = np.searchsorted(self.grams, g[at], "left"), np.searchsorted(self.grams, g[at], "right")
-        each = hi - lo
-        if not each.sum():
-            return []
-        where = np.repeat(lo, each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-        item, doc, start = self.item[where], np.repeat(doc, each), np.repeat(at, each) - self.offset[where]
-        place = self.offset[where]
-        order = np.lexsort((start, item, doc))
-        doc, item, start, place = doc[order], item[order], start[order], place[order]
-        pair = np.cumsum(np.r_[0, (np.diff(doc) != 0) | (np.diff(item) != 0)])
-        keep = self.aligned(pair, item, start)
-        if not keep.any():
+        if self.keys is None:
+            self.build()
+        if not len(h) or not len(self.keys):
             return []
-        # a run lies in the piece of its first word and in that of its last
-        pieces = np.stack([self.piece(item[keep], place[keep]), self.piece(item[keep], place[keep] + GRAM - 1)])
-        every = np.stack([*(np.tile(x[keep], 2) for x in (doc, item, start)), pieces.reshape(-1)])
-        doc, item, start, piece = np.unique(every, axis=1)
-        near = np.zeros(len(doc), bool)
-        for a in range(0, len(doc), 2048):
-            x = slice(a, a + 2048)
-            rows = cut(h, start[x] + self.start[piece[x]], self.size[piece[x]], bounds[doc[x]], bounds[doc[x] + 1])
-            near[x] = (embed(rows, self.size[piece[x]]) == self.keys[piece[x]]).any(1)
+        doc, item, start = self.candidates(h, bounds)
+        good = self.likely(doc, item, start, h, bounds)
+        doc, item, start = doc[good], item[good], start[good]
         out: dict[tuple[int, int], tuple] = {}
-        doc, item, start = np.unique(np.stack([doc, item, start])[:, near], axis=1)
         a = 0
-        while a < len(doc):  # alignments that lie at most k apart are verified together
+        while a < len(doc):  # candidates that lie at most k apart are verified together
             d, i, n, k = doc[a], item[a], self.n[item[a]], self.k[item[a]]
             b = a + 1
             while b < len(doc) and (doc[b], item[b]) == (d, i) and start[b] - start[b - 1] <= k and start[b] - start[a] <= _REACH:
@@ -155,30 +215,26 @@ class Index:
             if (d, i) not in out or out[d, i][4]:
                 first = max(start[a] - k, bounds[d])
                 region = h[first : min(start[b - 1] + n + k, bounds[d + 1])]
-                dist, end = edit_distance(self.words[i], region)
-                if dist <= k and ((d, i) not in out or dist < out[d, i][4]):
-                    size = edit_distance(self.words[i][::-1], region[max(0, end - n - k) : end][::-1])[1] if dist else int(n)
-                    out[d, i] = (int(d), int(i), int(first + end - size - bounds[d]), size, dist)
+                if np.isin(self.words[i], region).sum() >= n - k:
+                    dist, end = edit_distance(self.words[i], region)
+                    if dist <= k and ((d, i) not in out or dist < out[d, i][4]):
+                        size = edit_distance(self.words[i][::-1], region[max(0, end - n - k) : end][::-1])[1] if dist else int(n)
+                        out[d, i] = (int(d), int(i), int(first + end - size - bounds[d]), size, dist)
             a = b
         return list(out.values())
 
 
-def cut(h: np.ndarray, start: np.ndarray, sizes: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Row i: the sizes[i] words of h from start[i] on, with the symbol 1 for places outside low[i] to high[i]."""
-    at = start[:, None] + np.arange(int(sizes.max(initial=0)))
-    there = (at >= low[:, None]) & (at < high[:, None])
-    return np.where(there, h[np.clip(at, 0, len(h) - 1)], np.uint64(1))
-
-
-def padded(rows: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros((len(rows), max((len(r) for r in rows), default=0)), np.uint64)
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
-    return out
+def _unique(found: list[np.ndarray]) -> np.ndarray:
+    """The columns (text, item, first word), sorted and once each."""
+    x = np.concatenate(found, axis=1)
+    x = x[:, np.lexsort(x[::-1])]
+    fresh = np.ones(x.shape[1], bool)
+    fresh[1:] = (x[:, 1:] != x[:, :-1]).any(0)
+    return x[:, fresh]
 
 
-def _scan(rows: DataFrame, index: Index) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(index)
+def _scan(rows: DataFrame, shared) -> DataFrame:
+    """Rows of one block; shared: the broadcast Index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
@@ -199,21 +255,24 @@ def _scan(rows: DataFrame, index: Index) -> DataFrame:
 
 def find(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text_col: str = "text", edits: float = EDITS, block_words: int = 2_000_000,
+    item_text_col: str = "text", edits: float = EDITS, block_words: int = 200_000,
 ) -> DataFrame:
     """A row for each document and item that occurs in it: doc_id, item_id, first_word and n_words of the best stretch, distance in words."""
-    ready(docs.sparkSession)
+    spark = ready(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     items = benchmark.select(F.col(item_col).cast("bigint"), F.col(item_text_col).cast("binary")).where(F.col(item_text_col).isNotNull())
     parts, block, held = [], [], 0
     for r in items.toLocalIterator():  # no more than a block is held at once
-        if block and held + len(r[1]) // 2 > block_words:
-            parts.append(_scan(rows, Index(block, edits)))
+        size = len(bytes(r[1]).split())
+        if block and held + size > block_words:
+            shared = spark.sparkContext.broadcast(Index(block, edits))
+            parts.append(materialise(_scan(rows, shared), "leaks"))
+            shared.destroy()
             block, held = [], 0
         block.append((r[0], bytes(r[1])))
-        held += len(r[1]) // 2
-    parts.append(_scan(rows, Index(block, edits)))
-    return reduce(DataFrame.union, parts)
+        held += size
+    last = _scan(rows, spark.sparkContext.broadcast(Index(block, edits)))
+    return reduce(DataFrame.union, [*parts, last])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

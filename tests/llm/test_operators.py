@@ -141,7 +141,7 @@ def words_of(t):
 
 def test_decontamination_recall(spark, none):
     rnd = random.Random(5)
-    items = [(i, " ".join(f"w{rnd.randrange(400)}" for _ in range(rnd.randint(15, 60)))) for i in range(30)] + [(90, "w1 w2"), (91, None)]
+    items = [(i, " ".join(f"w{rnd.randrange(400)}" for _ in range(rnd.randint(15, 60)))) for i in range(30)] + [(90, "zz1 zz2"), (91, None), (92, ""), (93, "qq"), (94, "zz3 zz4 zz5")]
     rows, want = [], set()
     for d in range(300):
         text = [f"w{rnd.randrange(400)}" for _ in range(rnd.randint(0, 150))]
@@ -154,21 +154,29 @@ def test_decontamination_recall(spark, none):
             text[len(text) // 2 : len(text) // 2] = w
             want.add((d, i))
         rows.append((d, " ".join(text), "extra"))
-    rows += [(900, None, "x"), (901, "", "x"), (None, items[0][1], "x")]
+    rows += [(900, None, "x"), (901, "", "x"), (None, items[0][1], "x"), (902, "w1 zz1 zz2 w3 qq", "x"), (903, "zz1 w2 zz2", "x"), (904, "zz3 zz4 zz5", "x")]
+    rows += [(905, "w1 " * 60000 + items[3][1] + " w2" * 60000, "x"), (905, items[4][1], "x")]
+    want |= {(902, 90), (902, 93), (904, 94), (905, 3), (905, 4)}
     got = decontamination.find(
         spark.createDataFrame(rows, "doc_id long, text string, item_id string"), spark.createDataFrame(items, "item_id long, text string")
     ).collect()
     pairs = {(r.doc_id, r.item_id) for r in got}
     assert (None, 0) in pairs
-    assert len(want & pairs) >= 0.95 * len(want)
+    assert len(want & pairs) >= 0.95 * len(want) and {x for x in want if x[0] > 900} <= pairs and (903, 90) not in pairs
     by_id = dict(items)
     for r in got:  # every answer is exact
+        if r.doc_id == 905:
+            continue
         t = next(x[1] for x in rows if x[0] == r.doc_id)
         ids = {}
         code = lambda s: np.array([ids.setdefault(w, len(ids)) for w in words_of(s)], np.uint64)
         assert decontamination.edit_distance(code(by_id[r.item_id]), code(t))[0] <= 0.15 * len(words_of(by_id[r.item_id]))
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert decontamination.find(none, bench).count() == 0
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id string")
+    assert decontamination.find(docs, bench.limit(0)).count() == 0
+    blocked = decontamination.find(docs, bench, block_words=300)  # several blocks give the same
+    assert sorted(map(str, blocked.collect())) == sorted(map(str, got))
 
 
 def found(items, texts):
@@ -191,15 +199,18 @@ def test_decontamination_at_the_ends_of_documents(n):
         assert len(found(items, [place(w) for w in items])) >= 19, name
 
 
-@pytest.mark.parametrize("n", [15, 20, 29, 40, 60, 90, 120, 200, 300])
+@pytest.mark.parametrize("n", [7, 10, 14, 15, 20, 29, 40, 60, 90, 120, 200, 300])
+@pytest.mark.parametrize("spread", ["random", "even"])
 @pytest.mark.parametrize("kind", ["replaced", "mixed", "deleted"])
-def test_decontamination_recall_at_the_bound(n, kind):
+def test_decontamination_recall_at_the_bound(n, kind, spread):
     rnd = random.Random(n)
     some = lambda k: [f"w{rnd.randrange(3000)}" for _ in range(k)]
     items, texts = [some(n) for _ in range(60)], []
     for w in items:
         w = list(w)
-        for at in sorted(rnd.sample(range(n), int(0.15 * n)), reverse=True):
+        k = int(0.15 * n)
+        places = rnd.sample(range(n), k) if spread == "random" else [(i + 1) * n // (k + 1) for i in range(k)]
+        for at in sorted(places, reverse=True):
             changes = {"replaced": [["new"]], "deleted": [[]], "mixed": [[], ["new"], [w[at], "new"]]}[kind]
             w[at : at + 1] = rnd.choice(changes)
         texts.append(some(40) + w + some(60))
