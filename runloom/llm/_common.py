@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import uuid
 from pathlib import Path
 
@@ -14,9 +13,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where none is set."""
+    """The folder that the cluster names in spark.checkpoint.dir; a local one only where none is set and all tasks run on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "/tmp/runloom-checkpoints"
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -57,7 +58,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of an edge list (a, b), both long: rows (node, comp), comp the smallest node reachable.
 
     Distributed union-find: each round hooks every node's neighbours to its smallest neighbour
@@ -76,7 +77,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     last = digest(e)
     if not last[0]:
         return e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-    for _ in range(max_rounds):
+    while True:  # every round that changes an edge brings nodes nearer to their smallest one, so it ends
         # large-star: every larger neighbour of u goes to the smallest node in u's neighbourhood
         both = e.select("u", "v").union(e.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -88,10 +89,5 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         e = materialise(small.where("u <> v").distinct(), "edges")
         now = digest(e)
         if now == last:
-            break
+            return e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
         last = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-
-
-def env_int(name: str, default: int) -> int:
-    return int(os.environ.get(name, default))

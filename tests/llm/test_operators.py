@@ -53,6 +53,35 @@ def test_near_dedup(docs, none):
     assert near_dedup.cluster(none).count() == 0
 
 
+def test_near_dedup_of_families(spark):
+    """Families whose members are near, half near and chained, under repeated rows, ties and clashing names."""
+    rnd, rows = random.Random(3), []
+    vocabulary = [f"w{i}" for i in range(500)]
+    for f in range(6):
+        base = rnd.choices(vocabulary, k=rnd.randint(30, 120))
+        for _ in range(25):
+            if f % 2:
+                base = list(base)  # a chain: each differs from the one before
+            w = list(base)
+            for _ in range(rnd.choice([0, 1, 1, 2, 3, 8])):
+                w[rnd.randrange(len(w))] = rnd.choice(vocabulary)
+            base = w if f % 2 else base
+            rows.append((rnd.randrange(10**6), " ".join(w), 1, 2))
+    rows += [rows[3], rows[40], (-5, rows[7][1].upper(), 1, 2), (None, rows[0][1], 1, 2), (None, None, 1, 2)]
+    sets = [shingles(t) for _, t, _, _ in rows]
+    comp = {i: i for i, *_ in rows if i is not None}
+    links = [
+        (a[0], b[0]) for a, x in zip(rows, sets) for b, y in zip(rows, sets)
+        if None not in (a[0], b[0]) and x and y and 100 * len(x & y) >= 75 * len(x | y)
+    ]
+    while any(comp[a] != comp[b] for a, b in links):
+        for a, b in links:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int, key int")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.cluster(df).collect() if r.doc_id is not None)
+    assert got == sorted((r[0], len(s), comp[r[0]], comp[r[0]] == r[0]) for r, s in zip(rows, sets) if r[0] is not None)
+
+
 def test_super_minhash_estimates_similarity():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 2**63, 400).astype(np.uint64)
