@@ -10,8 +10,8 @@ Pass 2 gives ambiguous blocks the label of the nearest decided neighbours: good
 is; where the sides differ, the vote decides; headings look to the block after them. Inside the article only its own blocks
 are neighbours, and it is good where none is decided.
 
-Defined results: null, empty and text-free pages give empty text; unclosed tags, stray "<", unknown references and
-unclosed comments or scripts don't fail (an unclosed comment or script hides the rest); rows with null ids or urls
+Defined results: null, empty and text-free pages give empty text; unclosed tags, stray "<" and quotes, unknown references and
+unclosed comments or scripts don't fail, nor do they take more than linear time (an unclosed comment or script hides the rest); rows with null ids or urls
 and repeated rows are carried; other columns are passed over; an empty table gives no rows.
 """
 
@@ -56,12 +56,14 @@ STOP_WORDS = frozenset(
     "el los las y se del al lo con una por para no su como más pero sus".split()
 )
 
+# Attributes up to ">": anything but "<" and ">", which may stand in a quoted value only. No part can match in two ways and nothing is given
+# back, so a page is read in linear time however it is broken.
+_ATTRS = r"(?:[^<>=]|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|textarea|select|iframe|button|object)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\s+|/|[^\s\"'<>=/]+|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]*))*)>"
-    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)[^>]*>",
+    r"|<(?P<raw>script|style|noscript|template|svg|textarea|select|iframe|button|object)(?=[\s/>])" + _ATTRS + r">.*?(?:</(?P=raw)\s*+>|\Z)"
+    r"|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*+>"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>" + _ATTRS + r")(?P<whole>>?)",
     re.S | re.I,
 )
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -148,10 +150,13 @@ def blocks_of(page: str) -> list[Block]:
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
-        tag = (m["tag"] or m["tag2"] or "").lower()
+        tag = (m["tag"] or "").lower()
         if not tag:
             continue
-        if m["end"] or m["end2"]:
+        if not m["whole"]:  # no tag: text with a stray "<"
+            add(m[0])
+            continue
+        if m["end"]:
             if tag in BLOCK_TAGS:
                 end_block()
             if depth.get(tag):

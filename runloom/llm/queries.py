@@ -58,7 +58,11 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filters.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+    """A page counts as labelled where labels has its id: block for low quality or toxic, else allow."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), "block").when(F.col("quality").isNotNull(), "allow")
+    known = labels.select(F.col("doc_id").alias("page_id"), bad.alias("label")).join(pages.select("page_id", "url"), "page_id")
+    return url_filters.judge(pages, known.select("url", "label")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
