@@ -1 +1 @@
-
+"""Scalar functions over payloads, texts and times."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,8 +55,9 @@ class TraceFilter:
             c &= (F.col("tag") == self.tag) if "tag" in traces.columns else F.array_contains("tags", self.tag)
         if self.session:
             c &= (F.col("session_id") == self.session) | F.lower("session_id").startswith(self.session.lower())
-        if self.since_ms is not None:
-            c &= F.col("started_ms") >= self.since_ms
+        if self.since_ms is not None:  # a start that can't be read is compared as text
+            text = datetime.fromtimestamp(self.since_ms / 1000, timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%f")[:-3] + "Z"
+            c &= F.coalesce(F.col("started_ms") >= self.since_ms, F.col("started_at") >= text)
         if not self.forks:
             c &= F.col("parent_trace_id").isNull()
         return c
@@ -70,19 +72,33 @@ def page(rows: DataFrame, sort: str = "-started_at", limit: int = 25, offset: in
     if name not in SORTS:
         raise ValueError(f"unknown sort key {name!r}")
     key = F.col(SORTS[name])
-    rows = rows.orderBy(key.desc_nulls_last() if sort.startswith("-") else key.asc_nulls_first(), "id")
+    down = sort.startswith("-")
+    order = [key.desc_nulls_last() if down else key.asc_nulls_first()]
+    if name == "started_at":  # times that can't be told apart, or read, go by their text
+        order.append(F.col("started_at").desc() if down else F.col("started_at").asc())
+    rows = rows.orderBy(*order, "id")
     rows = rows.offset(offset) if offset else rows
     return rows if limit < 0 else rows.limit(limit)
 
 
 def resolve(traces: DataFrame, ref: str) -> DataFrame:
-    """At most two ids: the exact one, else those with the prefix; two mean that the reference is ambiguous."""
-    exact = traces.where(F.col("id") == ref).select("id", F.lit(0).alias("k"))
-    near = traces.where(F.lower("id").startswith(ref.lower()) & (F.col("id") != ref)).select("id", F.lit(1).alias("k"))
-    return exact.union(near).orderBy("k", "id").limit(2).select("id", (F.col("k") == 0).alias("exact"))
+    """The exact id, or else at most two ids with the prefix (case folded); two mean that the reference is ambiguous. A blank one finds nothing."""
+    if not ref.strip():
+        return traces.select("id", F.lit(False).alias("exact")).limit(0)
+    near = traces.where(F.lower("id").startswith(ref.lower())).select("id", (F.col("id") == ref).alias("exact"))
+    near = near.orderBy(F.col("exact").desc(), "id").limit(2)
+    return near.withColumn("__any", F.max("exact").over(Window.partitionBy(F.lit(1)))).where("exact or not __any").drop("__any")  # of two rows
 
 
-def store_totals(rows: DataFrame, steps: DataFrame) -> DataFrame:
+def resolve_one(traces: DataFrame, ref: str) -> str:
+    """The id that a reference means; ValueError where it is none's or ambiguous."""
+    found = [r[0] for r in resolve(traces, ref).collect()]
+    if len(found) != 1:
+        raise ValueError(f"{ref!r} is ambiguous: {found}" if found else f"no trace {ref!r}")
+    return found[0]
+
+
+def store_totals(rows: DataFrame) -> DataFrame:
     """One row over the non-forked traces of effective(); sums over nothing stay null."""
     own = rows.where("parent_trace_id is null")
     return own.agg(
@@ -91,6 +107,13 @@ def store_totals(rows: DataFrame, steps: DataFrame) -> DataFrame:
     )
 
 
+def store_counts(rows: DataFrame, evals: DataFrame, enabled_policies: int) -> DataFrame:
+    """store_totals() with the number of verdicts on these traces, and of enabled policies, which no bound in time narrows."""
+    own = rows.where("parent_trace_id is null").select(F.col("id").alias("trace_id"))
+    n = evals.join(own, "trace_id", "left_semi").agg(F.count("*").alias("evals"))
+    return store_totals(rows).crossJoin(F.broadcast(n)).withColumn("policies", F.lit(enabled_policies).cast("bigint"))  # one row beside one row
+
+
 def status_counts(traces: DataFrame) -> DataFrame:
     names = traces.sparkSession.createDataFrame(list(enumerate(STATUSES)), "ord int, status string")
     n = traces.where("parent_trace_id is null").groupBy("status").agg(F.count("*").alias("n"))
@@ -102,6 +125,15 @@ def agent_counts(traces: DataFrame) -> DataFrame:
     return own.groupBy("agent_name").agg(F.count("*").alias("n"), F.count_if(F.col("status").isin("failed", "timeout")).alias("failed"))
 
 
+def top_page(traces: DataFrame, steps: DataFrame, sort: str = "-started_at", limit: int = 25, offset: int = 0) -> DataFrame:
+    """A page of effective(). Where the sort key is the trace's own, the page is cut first and only its traces' steps are read."""
+    if sort.removeprefix("-") in ("tokens", "duration") or limit < 0:
+        return page(effective(traces, steps), sort, limit, offset)
+    rows = page(traces, sort, limit, offset)
+    few = steps.join(F.broadcast(rows.select(F.col("id").alias("trace_id"))), "trace_id", "left_semi")  # limit ids
+    return page(effective(rows, few), sort, limit)
+
+
 def latest_per(traces: DataFrame, key: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(F.col("started_ms").desc_nulls_last(), F.col("started_at").desc(), F.col("id"))
     return traces.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
@@ -116,6 +148,7 @@ def step_totals(steps: DataFrame, first: int = 1, last: int | None = None) -> Da
     inside = F.col("step_number") >= first
     if last is not None:
         inside &= F.col("step_number") <= last
+    took = [F.sum("duration_ms").alias("duration_ms")] if "duration_ms" in steps.columns else []
     return steps.where(inside).groupBy("trace_id").agg(
-        F.count("*").alias("n"), F.sum("tokens_used").alias("tokens"), F.count_if(F.col("error").isNotNull()).alias("errors")
+        F.count("*").alias("n"), F.sum("tokens_used").alias("tokens"), *took, F.count_if(F.col("error").isNotNull()).alias("errors")
     )

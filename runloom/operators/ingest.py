@@ -43,30 +43,58 @@ def validate_steps(steps: DataFrame) -> DataFrame:
     return rows.select("trace_id", "step_number", "x.field", "x.message")
 
 
-def prompts(turns: DataFrame) -> DataFrame:
-    """(conv_id, prompt, follow_ups, answer, steps) of sessions of turns (conv_id, turn, role, text): the first user turn is the prompt, later
-    ones are follow-ups without direct repeats, assistant turns are steps and the last of them is the answer."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    user = F.col("role") == "user"
-    rows = turns.withColumn("u", F.sum(F.when(user, 1).otherwise(0)).over(w))
-    last = F.last(F.when(user, F.col("text")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("again", user & last.eqNullSafe(F.col("text")) & (F.col("u") > 1))
-    return rows.groupBy("conv_id").agg(
-        F.max(F.when(user & (F.col("u") == 1), F.col("text"))).alias("prompt"),
-        F.count_if(user & (F.col("u") > 1) & ~F.col("again")).alias("follow_ups"),
-        F.max_by("text", F.when(F.col("role") == "assistant", F.col("turn"))).alias("answer"),
-        F.count_if(F.col("role") == "assistant").alias("steps"),
+# How turns begin that a harness writes, not a user.
+ENVELOPES = ("<", "# AGENTS.md instructions", "A session-scoped Stop hook is now active", "[SYSTEM NOTIFICATION")
+
+
+def is_envelope(text: Column) -> Column:
+    out = F.lit(False)
+    for x in ENVELOPES:
+        out |= F.ltrim(F.regexp_replace(text, r"^\s+", "")).startswith(x)
+    return out
+
+
+def prompts(turns: DataFrame, key: str = "conv_id") -> DataFrame:
+    """(key, prompt, preamble, follow_ups, answer, steps) of sessions of turns (key, turn, role, text).
+
+    The first user turn that is no envelope is the prompt, or the first if all are; earlier ones are its preamble, later ones follow-ups
+    without direct repeats; blank turns don't count. Assistant turns are steps and the last of them is the answer.
+    """
+    w = Window.partitionBy(key).orderBy("turn")
+    said = turns.where((F.col("role") == "user") & (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
+    said = said.withColumn("k", F.row_number().over(w)).withColumn("before", F.lag("text").over(w))
+    first = F.min(F.when(~is_envelope(F.col("text")), F.col("k"))).over(Window.partitionBy(key))
+    said = said.withColumn("first", F.coalesce(first, F.lit(1)))
+    listed = lambda where: F.transform(F.array_sort(F.collect_list(F.when(where, F.struct("k", "text")))), lambda x: x["text"])
+    user = said.groupBy(key).agg(
+        F.max(F.when(F.col("k") == F.col("first"), F.col("text"))).alias("prompt"), listed(F.col("k") < F.col("first")).alias("preamble"),
+        listed((F.col("k") > F.col("first")) & ~F.col("before").eqNullSafe(F.col("text"))).alias("follow_ups"),
+    )
+    other = turns.groupBy(key).agg(
+        F.max_by("text", F.when(F.col("role") == "assistant", F.col("turn"))).alias("answer"), F.count_if(F.col("role") == "assistant").alias("steps")
+    )
+    none = F.array().cast("array<string>")
+    return other.join(user, key, "left").select(
+        key, "prompt", F.coalesce("preamble", none).alias("preamble"), F.coalesce("follow_ups", none).alias("follow_ups"), "answer", "steps"
     )
 
 
 def pair_fifo(events: DataFrame, key: str, opens: str, closes: str) -> DataFrame:
-    """(key, open_id, close_id): the nth close of a key ends its nth open, if that came earlier; other opens stay open."""
-    w = Window.partitionBy(key, "event_type").orderBy("ts", "event_id")
-    ranked = events.where(F.col("event_type").isin(opens, closes)).withColumn("nth", F.row_number().over(w))
-    o = ranked.where(F.col("event_type") == opens).select(key, "nth", F.col("event_id").alias("open_id"), F.col("ts").alias("open_ts"))
-    c = ranked.where(F.col("event_type") == closes).select(key, "nth", F.col("event_id").alias("close_id"), F.col("ts").alias("close_ts"))
-    both = o.join(c, [key, "nth"], "left")
-    return both.select(key, "open_id", F.when(F.col("close_ts") >= F.col("open_ts"), F.col("close_id")).alias("close_id"))
+    """(key, open_id, close_id): a close ends the oldest call of its key that is still open; one that meets none is passed over.
+
+    A close meets none where closes outnumber opens more than ever before, so the closes that count follow from running sums, and the
+    nth of them ends the nth open.
+    """
+    w = Window.partitionBy(key).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy(key).orderBy("ts", "event_id")
+    up = F.col("event_type") == opens
+    rows = events.where(F.col("event_type").isin(opens, closes)).withColumn("excess", F.sum(F.when(up, -1).otherwise(1)).over(w))
+    rows = rows.withColumn("void", F.greatest(F.lit(0), F.max("excess").over(w)))
+    rows = rows.withColumn("counts", up | (F.col("void") == F.coalesce(F.lag("void").over(own), F.lit(0)))).where("counts")
+    each = Window.partitionBy(key, "event_type").orderBy("ts", "event_id")
+    rows = rows.withColumn("nth", F.row_number().over(each))
+    ids = rows.groupBy(key, "nth").agg(F.max(F.when(up, F.col("event_id"))).alias("open_id"), F.max(F.when(~up, F.col("event_id"))).alias("close_id"))
+    return ids.select(key, "open_id", "close_id")
 
 
 def assemble_spans(spans: DataFrame) -> DataFrame:
@@ -76,17 +104,19 @@ def assemble_spans(spans: DataFrame) -> DataFrame:
     root's, or any span's where no root came. Every order and repetition of deliveries gives the same trace.
     """
     w = Window.partitionBy("trace_id", "span_id").orderBy("seq")
+    spans = spans if "cost_usd" in spans.columns else spans.withColumn("cost_usd", F.lit(None).cast("double"))
     own = spans.withColumn("r", F.row_number().over(w)).where("r = 1")
     root = F.col("parent_id").isNull()
-    first = F.min_by(F.when(root, F.col("failed")), F.when(root, F.struct("start_ms", "seq")))
+    start = F.coalesce("start_ms", F.lit(2**63 - 1))  # a span without a start comes last
+    first = F.min_by(F.when(root, F.col("failed")), F.when(root, F.struct(start, "seq")))
     out = own.groupBy("trace_id").agg(
-        F.count("*").alias("spans"), F.sum("tokens").alias("tokens"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"),
+        F.count("*").alias("spans"), F.sum("tokens").alias("tokens"), F.sum("cost_usd").alias("cost_usd"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"),
         F.count_if(root).alias("roots"), first.alias("root_failed"), F.max("failed").alias("any_failed"),
     )
     failed = F.when(F.col("roots") > 0, F.col("root_failed")).otherwise(F.col("any_failed"))
     return out.select(
         "trace_id", (F.col("spans") - F.when(F.col("roots") > 0, 1).otherwise(0)).cast("bigint").alias("steps"),
-        F.nullif("tokens", F.lit(0)).alias("tokens"), "start_ms",
+        F.nullif("tokens", F.lit(0)).alias("tokens"), F.nullif("cost_usd", F.lit(0.0)).alias("cost_usd"), "start_ms",
         F.when(F.col("end_ms") >= F.col("start_ms"), F.col("end_ms") - F.col("start_ms")).alias("duration_ms"),
         (F.col("roots") == 0).alias("synthetic"), F.when(failed, "failed").otherwise("completed").alias("status"),
     )

@@ -105,5 +105,5 @@ def as_assembly(spans: DataFrame) -> DataFrame:
     """The spans as ingest.assemble_spans takes them: a root is what its operation calls one, whatever its parent."""
     parent = F.when(F.col("step_type") != "root", F.coalesce("parent_id", F.lit("")))
     return spans.select(
-        "trace_id", "span_id", parent.alias("parent_id"), "start_ms", "end_ms", "tokens", F.col("error").isNotNull().alias("failed"), "seq"
+        "trace_id", "span_id", parent.alias("parent_id"), "start_ms", "end_ms", "tokens", "cost_usd", F.col("error").isNotNull().alias("failed"), "seq"
     )

@@ -8,6 +8,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.times import instant_ms
+
 TRACE = {
     "id": "concat('trc_', cast(o_orderkey as string))",
     "agent_name": "concat('agent-', lower(c_mktsegment))",
@@ -27,6 +29,8 @@ TRACE = {
     " ',\"priority\":\"', o_orderpriority, '\"}') end",
     "output": "case when o_orderkey % 3 = 0 then null when o_orderkey % 7 = 0 then '\"I think maybe it ships\"'"
     " when o_orderkey % 13 = 0 then '\"write to a.b@example.com\"' else '\"shipped\"' end",
+    "metadata": "case when o_orderkey % 6 = 0 then '{}' else concat('{\"source_file\":\"f', cast(o_custkey % 5 as string), '\",\"attempt\":',"
+    " cast(o_orderkey % 3 as string), '}') end",
     "trace_key": "o_orderkey",
 }
 ORDER = "l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice"
@@ -50,6 +54,28 @@ REFS = (
     "case when partkey % 4 = 0 and step_number > 2 then step_number - 2 end as caused_by_step_number",
 )
 
+#: Records beside the steps and traces, over the columns of these views: name -> (source, condition, columns).
+RECORDS = {
+    "decisions": ("steps", "step_type = 'decision' or partkey % 13 = 0", {
+        "trace_id": "trace_id", "step_number": "step_number",
+        "options": "concat('[{\"option\":\"ship\",\"score\":0.', cast(suppkey % 10 as string), '},{\"option\":\"hold\"}]')",
+        "chosen": "case when suppkey % 2 = 0 then 'ship' else 'hold' end",
+        "rationale": "case when partkey % 3 = 0 then null else concat('rule ', cast(partkey % 7 as string)) end",
+        "confidence": "cast(suppkey % 11 as double) / 10",
+        "decided_by": "case partkey % 3 when 0 then 'agent' when 1 then 'user' else 'policy' end",
+    }),
+    "snapshots": ("steps", "suppkey % 5 = 0", {
+        "trace_id": "trace_id", "step_number": "step_number", "context_window": "concat('{\"part\":', cast(partkey as string), '}')",
+        "environment": "'{}'", "tool_state": "'{}'", "token_count": "cast(partkey % 100 as bigint)",
+    }),
+    "evals": ("traces", "trace_key % 4 <> 1", {
+        "trace_id": "id", "evaluator_type": "'rubric'", "evaluator_name": "case when trace_key % 2 = 0 then 'safety-check' else 'grounded' end",
+        "score": "cast(trace_key % 101 as double) / 100", "passed": "trace_key % 101 >= 70",
+        "details": "case when trace_key % 9 = 0 then '{\"skipped\":true}' when trace_key % 9 = 1 then '{\"skipped\":false}' else '{}' end",
+        "evaluated_ms": "started_ms + (trace_key % 3) * 1000", "seq": "trace_key",
+    }),
+}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -64,7 +90,6 @@ class Store:
 
     @cached_property
     def traces(self) -> DataFrame:
-        self.spark.conf.set("spark.sql.session.timeZone", "UTC")
         orders = table(self.spark, self.sf_dir, "orders").join(
             table(self.spark, self.sf_dir, "customer"), F.expr("o_custkey = c_custkey")
         )
@@ -74,7 +99,7 @@ class Store:
             *(f"{e} as {n}" for n, e in TRACE.items()),
             "case when o_orderkey % 20 <> 7 then unix_date(cast(ship as date)) * bigint(86400000) + 43200000 end as ended_ms",
         )
-        return rows.withColumn("started_ms", F.expr("unix_millis(try_cast(started_at as timestamp))"))
+        return rows.withColumn("started_ms", instant_ms(F.col("started_at")))
 
     @cached_property
     def steps(self) -> DataFrame:
@@ -82,6 +107,11 @@ class Store:
         rows = rows.selectExpr(*(f"{e} as {n}" for n, e in STEP.items()))
         return rows.selectExpr("*", *REFS)
 
+    def records(self, name: str) -> DataFrame:
+        """decisions, snapshots or evals."""
+        source, where, columns = RECORDS[name]
+        return getattr(self, source).where(where).selectExpr(*(f"{e} as {n}" for n, e in columns.items()))
+
 
 _HOURS = "(o_orderkey % 24 - case when o_orderkey % 4 in (1, 2) then 2 else 0 end) * 3600000"
 
@@ -95,5 +125,6 @@ plain as (select {", ".join(f"{e} as {n}" for n, e in STEP.items())} from lineit
 steps as (select *, {", ".join(REFS)} from plain),
 eff as (select t.*, coalesce(n, 0) as step_count, coalesce(total_tokens, cast(s as bigint)) as effective_tokens,
  coalesce(total_duration_ms, case when ended_ms >= started_ms then ended_ms - started_ms end) as duration_ms
- from traces t left join (select trace_id, count(*) as n, sum(tokens_used) as s from steps group by 1) on trace_id = id)
+ from traces t left join (select trace_id, count(*) as n, sum(tokens_used) as s from steps group by 1) on trace_id = id),
+{", ".join(f"{name} as (select {', '.join(f'{e} as {n}' for n, e in cols.items())} from {source} where {where})" for name, (source, where, cols) in RECORDS.items())}
 """
