@@ -9,12 +9,15 @@ as its step exceeds every register. Signatures of BANDS x ROWS registers are cut
 are candidates; a pair is linked where 100 * |A & B| >= threshold * |A | B| on the full sets.
 
 No bucket is expanded into its pairs. First every class is tested against the least of its buckets' leaders only, and links are
-merged into components. Then only buckets whose members still lie in different components go on: their leader, then 8, 64, 512, ...
-hash-picked leaders each are paired with the rest, until every pair of a bucket is tested or joined through others. Pairs whose
-signatures (a byte a register) agree in under ``AGREE`` of the registers are not near: at a similarity of 0.75 that is 6 standard
+merged into components; then against its other leaders where these lie in other components. For the classes of buckets that
+still hold several components the rest is found exactly, by their shingles in order of frequency, rarest first: two near sets of n and
+m <= n shingles share one of the first n - ceil(3n/4) + 1 of the one and of the first m - ceil(6m/7) + 1 of the other, with enough
+shingles left behind it (prefix, length and positional filters). These tests are made first against counts by (shingle, component,
+size), so that a member that can't reach a large component is not paired with its members. So nothing is capped, and copies that all
+hold the same frequent shingles give no pairs.
+Pairs whose signatures (a byte a register) agree in under ``AGREE`` of the registers are not near: at a similarity of 0.75 that is 6 standard
 deviations off (1e-9), far less than what banding itself misses. Of the others, the one that agrees most speaks first for each two
-components, and the rest are tested only where these two are still apart. Whole texts travel for those pairs alone. So nothing is capped;
-work is linear in the bucket while it holds copies of one text.
+components, and the rest are tested only where these two are still apart. Whole texts travel for those pairs alone.
 At a similarity of 0.75 a pair shares no band with probability (1 - 0.75**4)**28 = 2.4e-5.
 
 Defined results: null or empty texts have n_shingles 0 and are their own component; repeated rows
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import components, materialise, ready
@@ -119,6 +122,37 @@ def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.mapInArrow(run, schema)
 
 
+def by_prefixes(left: DataFrame, docs: DataFrame, threshold: int = 75) -> DataFrame:
+    """Pairs (a, b, ca, cb) of classes (rep, comp) of different components that may be near, none of the near ones left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            for a, b in blocks(texts):
+                h, bounds = words_of(texts[a:b])[:2]
+                sets = shingle_sets(h, bounds, SHINGLE)
+                n = np.array([len(s) for s in sets], np.int64)
+                at = pa.array(np.repeat(np.arange(a, b), n))
+                cols = [*(batch.column(j).take(at) for j in (0, 1, 3)), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets).astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(cols, ["rep", "comp", "t", "n", "s"])
+
+    texts = docs.join(left.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "comp", "text").dropDuplicates(["doc_id", "text"])
+    texts = texts.withColumn("t", F.xxhash64("text"))  # an id may have several texts
+    held = materialise(texts.mapInArrow(run, "rep bigint, comp bigint, t bigint, n bigint, s bigint"), "shingles")
+    often = held.groupBy("s").agg(F.count("*").alias("often"))
+    w = Window.partitionBy("rep", "t").orderBy("often", "s")
+    ranked = held.join(often.hint("merge"), "s").withColumn("p", F.row_number().over(w))
+    ranked = materialise(ranked.where(f"p <= n - ceil({threshold} * n / 100) + 1").drop("often"), "prefixes")
+    need = f"ceil({threshold} * (nx + ny) / {100 + threshold})"
+    fits = f"cx <> cy and ny <= nx and 100 * ny >= {threshold} * nx and 1 + least(nx - px, room) >= {need}"
+    probe = ranked.selectExpr("s", "rep as x", "comp as cx", "n as nx", "p as px")
+    index = ranked.where(f"p <= n - ceil(2 * {threshold} * n / {100 + threshold}) + 1").selectExpr("s", "rep as y", "comp as cy", "n as ny", "n - p as room")
+    groups = index.groupBy("s", "cy", "ny").agg(F.max("room").alias("room"))
+    some = probe.join(groups.hint("merge"), "s").where(fits).drop("room")
+    pairs = some.join(index.hint("merge"), ["s", "cy", "ny"]).where(fits)
+    return pairs.selectExpr("x as a", "y as b", "cx as ca", "cy as cb")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, threshold: int = 75) -> DataFrame:
     """The pairs (a, b) of ids whose texts' full shingle sets reach the threshold. docs: (doc_id, text)."""
     need = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -187,28 +221,27 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         comp = components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more))
         return True
 
-    rest, leaders = bucket, 1
-    while True:
-        now = joined(rest, "rep", "comp")
-        open_ = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        now = materialise(now.join(open_.hint("merge"), "key"), "open")
-        if now.isEmpty():
-            break
-        lead = F.col("rep") == F.col("lead") if leaders == 1 else F.pmod(F.xxhash64("key", "rep"), F.col("members")) < leaders
-        heads = now.where(lead).select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        tails = now.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), lead.alias("too"))
-        fresh = tails.join(heads.hint("merge"), "key").where(f"ca <> cb and (a < b or not too) and {close('na', 'nb')}")
-        ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")]
-        fresh = materialise(fresh.select(*ends).distinct().join(tested.hint("merge"), ["a", "b"], "left_anti"), "fresh")
-        if not fresh.isEmpty():
-            found = materialise(agreeing(fresh, sketches), "agreeing")
-            best = found.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("x")).select("x.a", "x.b")
-            first = materialise(best, "first")
-            link(first)
-            link(found.select("a", "b").join(first.hint("merge"), ["a", "b"], "left_anti"))
-            tested = tested.union(fresh.select("a", "b"))
-        rest = now.where(~lead).drop("comp")
-        leaders *= 8
+    def test(fresh: DataFrame) -> None:
+        """Tests the pairs (a, b, ca, cb), for each two components first the one whose signatures agree most."""
+        nonlocal tested
+        fresh = materialise(fresh.distinct().join(tested.hint("merge"), ["a", "b"], "left_anti"), "fresh")
+        if fresh.isEmpty():
+            return
+        tested = tested.union(fresh.select("a", "b"))
+        found = materialise(agreeing(fresh, sketches), "agreeing")
+        best = found.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("x")).select("x.a", "x.b")
+        best = materialise(best, "best")
+        link(best)
+        link(found.select("a", "b").join(best.hint("merge"), ["a", "b"], "left_anti"))
+
+    ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")]
+    others = bucket.where(f"rep <> lead and {close('n', 'lead_n')}").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    test(joined(joined(others, "a", "ca"), "b", "cb").where("ca <> cb").select(*ends))
+    now = joined(bucket.select("key", "rep"), "rep", "comp")
+    open_ = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    left = materialise(now.join(open_.hint("merge"), "key").select("rep", "comp").distinct(), "open")
+    if not left.isEmpty():
+        test(by_prefixes(left, rows, threshold).select(*ends))
     named = classes.join(comp, classes.rep == comp.node, "left").select("f1", "f2", "n", F.coalesce("comp", "rep").alias("comp"))
     out = sig.select("doc_id", "n", "f1", "f2").join(named, ["f1", "f2", "n"], "left")
     whole = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
