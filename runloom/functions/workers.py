@@ -1,10 +1,10 @@
-"""Where tasks find this package."""
+"""Where tasks find this package, and where plans are cut."""
 
 from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ready() -> SparkSession:
@@ -14,3 +14,13 @@ def ready() -> SparkSession:
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH", "")]))
     return spark
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the folder that the cluster names in spark.checkpoint.dir, its lineage and plan cut."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir("/tmp/runloom-checkpoints")
+    return df.checkpoint()

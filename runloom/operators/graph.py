@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.workers import cut
+
 
 def decision_points(steps: DataFrame) -> DataFrame:
     return steps.where("step_type = 'decision'")
@@ -27,14 +29,6 @@ def drop_forward_refs(steps: DataFrame) -> DataFrame:
     return steps.select(*(keep(c) if c in refs else F.col(c) for c in steps.columns))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder that the cluster names, its lineage cut."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir("/tmp/runloom-checkpoints")
-    return df.checkpoint()
-
-
 def antecedents(steps: DataFrame) -> DataFrame:
     """(trace_id, step_number, antecedent, link): the cause where it exists, else the parent, else the nearest earlier decision."""
     rows = prior_decision(drop_forward_refs(steps))
@@ -55,7 +49,7 @@ def causal_walk(steps: DataFrame, start: DataFrame | None = None) -> DataFrame:
     steps, so the rounds grow with the logarithm of the longest chain and no trace is gathered into one row.
     """
     own = F.max(F.struct("antecedent", "link")).alias("x")
-    ante = _cut(antecedents(steps).groupBy("trace_id", "step_number").agg(own).select("trace_id", "step_number", "x.*"))
+    ante = cut(antecedents(steps).groupBy("trace_id", "step_number").agg(own).select("trace_id", "step_number", "x.*"))
     if start is None:
         start = ante.groupBy("trace_id").agg(F.max("step_number").alias("step_number"))
     reached = start.select("trace_id", "step_number", F.lit(0).alias("hop"))
@@ -63,12 +57,12 @@ def causal_walk(steps: DataFrame, start: DataFrame | None = None) -> DataFrame:
     size = 1  # each jump leads over so many steps
     while True:
         new = reached.join(jump, ["trace_id", "step_number"])
-        new = _cut(new.select("trace_id", F.col("to").alias("step_number"), (F.col("hop") + size).alias("hop")))
+        new = cut(new.select("trace_id", F.col("to").alias("step_number"), (F.col("hop") + size).alias("hop")))
         if new.isEmpty():
             break
         reached = reached.union(new)
         on = jump.select("trace_id", F.col("step_number").alias("to"), F.col("to").alias("__to"))
-        jump = _cut(jump.join(on, ["trace_id", "to"]).select("trace_id", "step_number", F.col("__to").alias("to")))
+        jump = cut(jump.join(on, ["trace_id", "to"]).select("trace_id", "step_number", F.col("__to").alias("to")))
         size *= 2
     return reached.join(ante, ["trace_id", "step_number"]).select("trace_id", "hop", "step_number", "link")
 
