@@ -38,9 +38,10 @@ RULES = (
     ("variety", 6, 0.7, 1e12, 0.35, 1e12),
     ("short_words", 7, 0.15, 0.7, 0.05, 0.97),
 )
-#: Prior belief in the rules: the share of good texts on which one votes bad, held as firmly as
-#: FIRM times the observed rows would; the tables of the bad class follow the data.
-FALSE_ALARM, FIRM = 0.004, 10.0
+#: Prior belief: the share of good texts, and the share of them on which a rule votes bad, both held as firmly as
+#: FIRM times the observed rows would. Without it faults that each show in one rule only don't tell which class is which, and the
+#: classes collapse into one. All else about the rules, good votes and abstentions included, follows the data.
+GOOD_SHARE, FALSE_ALARM, FIRM = 0.8, 0.0005, 10.0
 GOOD, BAD = 1, 2
 
 
@@ -61,22 +62,21 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np.ndarr
     digits = np.stack([patterns // 3**i % 3 for i in range(len(RULES))], axis=1)
     n = counts.astype(np.float64)
     bad, good = (digits == BAD).sum(1), (digits == GOOD).sum(1)
-    post = np.where(bad > 0, 0.2**bad, np.where(good > 0, 0.95, 0.5))
+    post, held = np.where(bad > 0, 0.2**bad, np.where(good > 0, 0.95, 0.8)), FIRM * n.sum()
     for _ in range(rounds):
-        prior = (n @ post + 8) / (n.sum() + 10)
+        prior = (n @ post + held * GOOD_SHARE) / (n.sum() + held)
         logit = np.full(len(patterns), np.log(prior) - np.log1p(-prior))
         for i in range(len(RULES)):
-            table = np.zeros((2, 3))
+            table = np.ones((2, 3))
             for v in range(3):
                 at = digits[:, i] == v
-                table[0, v], table[1, v] = n[at] @ (1 - post[at]), n[at] @ post[at]
-            table[0] += [1.0, 1.0, 1.0]
-            share = (table[1] + 1) / (table[1] + 1).sum()
-            share[BAD] = (table[1, BAD] + FIRM * n.sum() * FALSE_ALARM) / (table[1].sum() + FIRM * n.sum())
-            table[0] /= table[0].sum()
-            ratio = np.log(share) - np.log(table[0])
-            ratio[0] = 0.0  # an abstention is no evidence
-            ratio[BAD] = min(ratio[BAD], 0.0)  # nor does a bad vote ever speak for a text
+                table[0, v] += n[at] @ (1 - post[at])
+                table[1, v] += n[at] @ post[at]
+            alarm = (table[1, BAD] - 1 + held * FALSE_ALARM) / (table[1].sum() - 3 + held)
+            share = table[1] / table[1, :BAD].sum() * (1 - alarm)
+            share[BAD] = alarm
+            ratio = np.log(share) - np.log(table[0] / table[0].sum())
+            ratio[BAD] = min(ratio[BAD], 0.0)  # a bad vote never speaks for a text, nor a good one against it
             ratio[GOOD] = max(ratio[GOOD], 0.0)
             logit += ratio[digits[:, i]]
         new = 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
