@@ -1,4 +1,4 @@
 """Named queries over the fixture store."""
 
-from . import ingests, records  # noqa: F401  each module adds its own
+from . import ingests, records, telemetry  # noqa: F401  each module adds its own
 from .queries import ORACLES, QUERIES  # noqa: F401
