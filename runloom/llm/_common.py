@@ -31,16 +31,34 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _drop_written() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _remove(spark, path)
         except Exception:  # noqa: BLE001  the session may have ended first
             return
 
 
+def release(kept: DataFrame, since: int) -> int:
+    """Removes what was written after the first ``since`` paths, but for the files of kept, which nothing else may read by now; the new number of paths."""
+    own = kept.inputFiles()
+    for spark, path in _written[since:]:
+        if not any(f"/{path.rsplit('/', 1)[-1]}/" in f for f in own):
+            _remove(spark, path)
+    _written[since:] = [x for x in _written[since:] if any(f"/{x[1].rsplit('/', 1)[-1]}/" in f for f in own)]
+    return len(_written)
+
+
+def written() -> int:
+    """How many paths were written and are still there."""
+    return len(_written)
+
+
 atexit.register(_drop_written)
 
 

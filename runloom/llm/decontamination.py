@@ -275,7 +275,9 @@ def find(
     return reduce(DataFrame.union, [*parts, last])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without the documents that hold an item of the benchmark."""
-    bad = materialise(find(docs, benchmark, id_col, **options).select(F.col("doc_id").alias("__bad")).distinct(), "leaks")
-    return docs.join(bad, F.col(id_col) == F.col("__bad"), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs without the documents whose text holds an item of the benchmark, whatever their ids."""
+    key = F.xxhash64(F.col(text_col).cast("string"))
+    keyed = docs.select(key.alias("__text"), F.col(text_col).alias("__said"))
+    bad = materialise(find(keyed, benchmark, "__text", "__said", **options).select(F.col("doc_id").alias("__bad")).distinct(), "leaks")
+    return docs.join(bad, key == F.col("__bad"), "left_anti")

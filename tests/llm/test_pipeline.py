@@ -28,6 +28,7 @@ def corpus():
     rows[42][1] = rows[5][1].split("\n")[0] + "\n" + text(40)  # a line that stands earlier
     items = [(7, text(30)), (8, text(20)), (9, None)]
     rows[43][1] += "\n" + items[0][1]
+    rows += [[None, items[0][1]], [45, items[0][1] + " more"]]
     rows[44][1] = text(12) + " " + " ".join([*items[1][1].split()[:9], "other", *items[1][1].split()[10:]]) + " " + text(9)
     rows += [[90, None], [91, ""], [None, text(30)], [None, None], [3, rows[3][1]], [3, text(25)], [92, text(20000)]]
     source = lambda i: None if i is None or i % 5 == 0 else "ab"[i % 2]
@@ -80,8 +81,8 @@ def without_items(rows, items):
     ids = {}
     code = lambda t: np.array([ids.setdefault(w, len(ids)) for w in words_of(t)], np.uint64)
     own = [code(t) for _, t in items if t]
-    bad = {i for i, t in rows for w in own if t and decontamination.edit_distance(w, code(t))[0] <= int(0.15 * len(w))}
-    return sorted((r for r in rows if r[0] not in bad), key=str)
+    bad = {t for _, t in rows for w in own if t and decontamination.edit_distance(w, code(t))[0] <= int(0.15 * len(w))}
+    return sorted((r for r in rows if r[1] not in bad), key=str)
 
 
 def test_every_stage_on_its_own_input(spark, folder):
