@@ -1,4 +1,10 @@
-"""The corpus pipeline: five stages over documents, each written as Parquet and read again."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again.
+
+Defined results: documents without text pass the first four stages by their score (an empty text's) and take nothing in the mix; rows with
+a null id are scored, keep their lines and are in no group of near-duplicates; a document goes where its text holds a benchmark item, whatever its id; rows that
+repeat an id and text are treated alike in every stage, and the mix counts each; rows that repeat an id with another text are rows of their own. Ties are broken by id, and by a seeded hash in the
+mix. Columns beside those of documents are left out after the first stage. Empty tables give no rows.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runloom.llm import decontamination, line_dedup, mixing, near_dedup, quality_classifier
-from runloom.llm._common import materialise
+from runloom.llm._common import materialise, release, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 REJECT = 0.3
@@ -58,5 +64,7 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
+        before = written()
         docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(docs, before)  # what only this stage needed
     return docs
