@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.jsons import canonical, input_key
+from ..functions.workers import cut
 
 # Compared fields in their order.
 STEP_FIELDS = ("step_type", "name", "input", "output", "model", "error", "decision")
@@ -168,6 +169,7 @@ def golden_report(
     """One row: passed, failed, unmatched, uncovered (entries that no candidate met), uncompared (named fields that the entries used
     for some candidate can't exercise, where nothing failed) and ok."""
     key = ["agent_name", "input_hash"]
+    checked = cut(checked)  # read twice
     seen = candidates.where("input_hash is not null").select(*key).distinct()
     uncovered = golden.join(seen, key, "left_anti").agg(F.count("*").alias("uncovered"))
     total = checked.agg(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.jsons import canonical
+from ..functions.workers import cut
 from ..operators import browse, compare, graph, ingest, judge, otlp
 from ..sources.fixtures import ORACLE, Store, table
 
@@ -264,17 +265,17 @@ def golden_sides(s: Store, edit: bool = True) -> tuple[DataFrame, DataFrame, Dat
     failed, a part of the models is missing, and inputs are written in another order."""
     even = s.traces.where("trace_key % 2 = 0 and parent_trace_id is null")
     steps = s.steps.where("trace_key % 2 = 0")
-    rows = compare.golden_steps(steps)
-    gold = compare.golden_entries(even, rows)
+    rows = cut(compare.golden_steps(steps))  # read by every part of the check
+    gold = cut(compare.golden_entries(even, rows))
     if not edit:
         return gold, rows, gold, rows
     last = Window.partitionBy("trace_id")
     fewer = steps.withColumn("most", F.max("step_number").over(last)).where("trace_key % 4 <> 0 or step_number < most")
-    changed = compare.golden_steps(fewer.withColumn("model", F.expr("case when suppkey % 4 <> 0 then model end")))
+    changed = cut(compare.golden_steps(fewer.withColumn("model", F.expr("case when suppkey % 4 <> 0 then model end"))))
     other = F.concat(F.lit('{"priority" : "'), F.get_json_object("input", "$.priority"), F.lit('", "customer": '), F.get_json_object("input", "$.customer"), F.lit("e0}"))
     runs = even.withColumn("status", F.expr("case when trace_key % 6 = 0 then 'failed' else status end"))
     runs = runs.withColumn("input", F.when(F.col("input") != "{}", other).otherwise(F.col("input")))
-    return gold, rows, compare.golden_entries(runs, changed), changed
+    return gold, rows, cut(compare.golden_entries(runs, changed)), changed
 
 
 _FIELD = {
