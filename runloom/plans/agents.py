@@ -25,7 +25,7 @@ GUARDS = (judge.Policy("no-t1", "deny", 5, name_contains="T1"), judge.Policy("as
 HOOKS = """with e as (select event_id as seq, cast(user_id as string) as session, case event_type when 'click' then 'pre' when 'view' then 'post' when 'error' then 'fail' when 'signup' then
  case when event_id % 2 = 0 then 'prompt' else 'anchor' end else case when event_id % 5 = 0 then null else 'end' end end as a, concat('t', cast(event_id % 3 as string)) as tool,
  case when event_id % 3 = 1 or event_type = 'signup' then concat('a', cast(event_id % 2 as string)) end as agent from events),
- r as (select *, coalesce(sum(case when a = 'end' then 1 else 0 end) over (partition by session order by seq rows between unbounded preceding and 1 preceding), 0) as run from e where a is not null),
+ r as (select *, cast(coalesce(sum(case when a = 'end' then 1 else 0 end) over (partition by session order by seq rows between unbounded preceding and 1 preceding), 0) as bigint) as run from e where a is not null),
  f as (select *, a = 'pre' as up from r where a in ('pre', 'post', 'fail') and not ({deny})),
  x as (select *, sum(case when up then -1 else 1 end) over (partition by session, tool order by seq) as excess from f), y as (select *, greatest(0, max(excess) over (partition by session, tool order by seq)) as void from x),
  g as (select *, void > coalesce(lag(void) over (partition by session, tool order by seq), 0) as lost from y), o as (select *, row_number() over (partition by session, tool, up order by seq) as nth from g where up or not lost),
