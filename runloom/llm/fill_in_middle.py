@@ -37,9 +37,10 @@ class Sentinels:
     middle: str = "<M>"
 
     def __post_init__(self) -> None:
-        every = [self.prefix, self.suffix, self.middle]
-        joins = any(a[-k:] == b[:k] for a in every for b in every for k in range(1, min(len(a), len(b)) + (a is not b)))
-        if not all(every) or joins or any(a is not b and a in b for a in every for b in every):
+        every = (self.prefix, self.suffix, self.middle)
+        pairs = [(a, b, i == j) for i, a in enumerate(every) for j, b in enumerate(every)]
+        joins = any(a[-k:] == b[:k] for a, b, own in pairs for k in range(1, min(len(a), len(b)) + (not own)))
+        if not all(every) or joins or any(a in b for a, b, own in pairs if not own):
             raise ValueError("sentinels must not be empty, hold one another or begin with the end of one")
 
     @property
