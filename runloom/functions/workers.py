@@ -16,11 +16,18 @@ def ready() -> SparkSession:
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the folder that the cluster names in spark.checkpoint.dir, its lineage and plan cut."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
+def shared(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a local one only where none is set and all tasks run on this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir("/tmp/runloom-checkpoints")
+        base = "/tmp/runloom-checkpoints"
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder, its lineage and plan cut."""
+    shared(df.sparkSession)
     return df.checkpoint()

@@ -156,8 +156,9 @@ def read_events(lines: DataFrame) -> DataFrame:
     """(seq, event, type, trace_id, step_number, status, warning, repaired) of capture events (seq, line); event is null where one is skipped.
 
     Amounts that can't be used and references that don't point backwards are taken out and named in the warning; a status is read by its
-    synonyms, and one that can't be read counts as failed and repaired.
+    synonyms, and one that can't be read counts as failed and repaired. Other columns of lines come last.
     """
+    more = [c for c in lines.columns if c not in ("seq", "line")]
     v = F.col("v")
     kind_ = V.text(v, "$.type")
     of = lambda *names: kind_.isin(*names)
@@ -188,18 +189,18 @@ def read_events(lines: DataFrame) -> DataFrame:
     skip = F.coalesce(*(F.when(bad, F.lit(f"skipped: {why}")) for bad, why in skips))
     dropped = [F.when(_bad_amount(v, f"$.{c}"), F.lit(c)) for c in AMOUNTS]
     refs = [F.when(V.has(v, f"$.{c}") & ~some((V.whole(v, f"$.{c}") >= 1) & (V.whole(v, f"$.{c}") < step)) & step.isNotNull(), F.lit(c)) for r in REFS for c in (r, f"{r}_number")]
-    rows = lines.select("seq", F.col("line").alias("event"), V.parsed(F.col("line")).alias("v"))
+    rows = lines.select("seq", F.col("line").alias("event"), V.parsed(F.col("line")).alias("v"), *more)
     rows = rows.select(
         "seq", "event", kind_.alias("type"), V.text(v, "$.trace_id").alias("trace_id"), step.cast("int").alias("step_number"),
         F.when(ends, F.coalesce(known, F.lit("failed"))).when(of("trace_end"), "completed").alias("status"), skip.alias("skip"),
         (ends & known.isNull()).alias("repaired"), F.array_compact(F.array(*dropped, *refs)).alias("out"),
-        F.when(ends & known.isNull(), F.lit("status is recorded as failed")).when(ends & (known != status), F.concat(F.lit("status is read as "), known)).alias("read"),
+        F.when(ends & known.isNull(), F.lit("status is recorded as failed")).when(ends & (known != status), F.concat(F.lit("status is read as "), known)).alias("read"), *more,
     )
     out = F.when(F.size("out") > 0, F.concat(F.lit("ignored "), F.array_join("out", ", ")))
     fine = F.col("skip").isNull()
     return rows.select(
         "seq", F.when(fine, F.col("event")).alias("event"), "type", "trace_id", "step_number", F.when(fine, F.col("status")).alias("status"),
-        F.coalesce("skip", F.nullif(F.concat_ws("; ", "read", out), F.lit(""))).alias("warning"), (fine & F.col("repaired")).alias("repaired"), "out",
+        F.coalesce("skip", F.nullif(F.concat_ws("; ", "read", out), F.lit(""))).alias("warning"), (fine & F.col("repaired")).alias("repaired"), "out", *more,
     )
 
 
