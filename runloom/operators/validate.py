@@ -82,7 +82,7 @@ def validate(docs: DataFrame) -> DataFrame:
         _fault(F.coalesce(F.size(numbers) > F.size(F.array_distinct(numbers)), F.lit(False)), "steps", "a step_number appears more than once"),
     )
     whole = rows.select("doc_id", F.explode(F.array_compact(faults)).alias("x"))
-    each = rows.select("doc_id", numbers.alias("numbers"), F.posexplode(steps).alias("i", "s"))
+    each = rows.select("doc_id", F.posexplode(steps).alias("i", "s"))
     s, at = F.col("s"), F.concat(F.lit("steps["), F.col("i").cast("string"), F.lit("]."))
     named = lambda part: F.concat(at, F.lit(part))
     own = V.whole(s, "$.step_number")
@@ -92,7 +92,6 @@ def validate(docs: DataFrame) -> DataFrame:
         refs += [
             _fault(given & ~F.coalesce(ref >= 1, F.lit(False)), named(name), "must be a positive whole number"),
             _fault((ref >= 1) & (ref >= own), named(name), "must name an earlier step"),
-            _fault((ref >= 1) & ~F.array_contains("numbers", ref), named(name), "names a step that is not there"),
         ]
     step_faults = F.array(
         _fault(~V.is_object(s), named("root"), "must be an object"),
@@ -105,19 +104,31 @@ def validate(docs: DataFrame) -> DataFrame:
         *(F.when(V.has(s, "$.decision"), f) for f in decision_faults(F.try_variant_get(s, "$.decision", "variant"), named("decision"))),
     )
     inner = each.select("doc_id", F.explode(F.array_compact(step_faults)).alias("x"))
-    return whole.union(inner).select("doc_id", "x.field", "x.message")
+    pairs = F.array(*(F.struct(F.lit(name).alias("name"), reference(s, name)[1].alias("ref")) for name in REFS))
+    asked = each.select("doc_id", at.alias("at"), F.explode(pairs).alias("r")).where("r.ref >= 1")
+    have = each.select("doc_id", own.alias("__n")).where("__n is not null")
+    asked = asked.select("doc_id", F.concat("at", "r.name").alias("field"), F.col("r.ref").alias("__n"))
+    lost = asked.join(have, ["doc_id", "__n"], "left_anti").select("doc_id", "field", F.lit("names a step that is not there").alias("message"))
+    return whole.union(inner).select("doc_id", "x.field", "x.message").union(lost)
 
 
-def tables(docs: DataFrame, extra_tags: Sequence[str] = ()) -> dict[str, DataFrame]:
-    """traces, steps, decisions and snapshots of the traces (doc_id, body) that have no fault. A trace without an id gets one from its text."""
-    bad = validate(docs).select("doc_id").distinct()
-    rows = docs.join(bad, "doc_id", "left_anti").select("body", V.parsed(F.col("body")).alias("v"))
+def trace_id(v: Column, doc_id: Column, body: Column, salt: str = "") -> Column:
+    """The trace's own id where it is a string that is not blank; else one made from where the trace stands and what it says, so that equal bodies are traces of their own."""
+    made = F.concat(F.lit("trc_"), F.substring(F.sha2(F.concat_ws("\n", F.lit(salt), doc_id.cast("string"), body), 256), 1, 16))
+    return F.coalesce(F.when(F.trim(V.text(v, "$.id")) != "", V.text(v, "$.id")), made)
+
+
+def tables(docs: DataFrame, extra_tags: Sequence[str] = (), salt: str = "", valid: bool = False) -> dict[str, DataFrame]:
+    """traces, steps, decisions and snapshots of the traces (doc_id, body) that have no fault, or of all where they are known to be valid. A trace
+    without an id gets one of its own; salt tells those of one delivery from those of another."""
+    if not valid:
+        docs = docs.join(validate(docs).select("doc_id").distinct(), "doc_id", "left_anti")
+    rows = docs.select("doc_id", "body", V.parsed(F.col("body")).alias("v"))
     v = F.col("v")
-    made = F.concat(F.lit("trc_"), F.substring(F.sha2("body", 256), 1, 12))
     none = F.array().cast("array<string>")
     tags = F.coalesce(F.try_variant_get(v, "$.tags", "array<string>"), none)
     traces = rows.select(
-        F.coalesce(F.when(F.trim(V.text(v, "$.id")) != "", V.text(v, "$.id")), made).alias("id"), V.text(v, "$.agent_name").alias("agent_name"),
+        trace_id(v, F.col("doc_id"), F.col("body"), salt).alias("id"), V.text(v, "$.agent_name").alias("agent_name"),
         V.text(v, "$.agent_version").alias("agent_version"), F.coalesce(V.text(v, "$.trigger"), F.lit("manual")).alias("trigger"),
         F.coalesce(V.text(v, "$.status"), F.when(V.has(v, "$.ended_at"), "completed").otherwise("running")).alias("status"),
         F.coalesce(V.payload(v, "$.input"), F.lit("{}")).alias("input"), V.payload(v, "$.output").alias("output"),

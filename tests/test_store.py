@@ -28,7 +28,7 @@ def store(spark, tmp_path):
     (tmp_path / "in" / "a.jsonl").write_text("// note\n\n" + json.dumps(TRACE) + "\nno json\n" + json.dumps(bad) + "\n")
     (tmp_path / "in" / "b.json").write_text(json.dumps([fork, TRACE], indent=2))
     faults, lines = s.ingest_files(str(tmp_path / "in"), ["extra"])
-    assert sorted(r.field for r in faults.collect()) == ["steps[0].name", "steps[0].step_number", "steps[0].step_type"]
+    assert sorted(r.field for r in faults.collect()) == ["id", "steps[0].name", "steps[0].step_number", "steps[0].step_type"]  # t1 is in both files
     assert [r.n for r in lines.collect()] == [4]
     return s
 
@@ -41,7 +41,7 @@ def test_ingest_and_read_again(store):
     assert [(r.step_number, r.name, r.parent_step_number) for r in steps] == [(1, "look", None), (3, "pick", 1)]
     assert store.table("decisions").first().decided_by == "agent" and store.table("snapshots").first().token_count == 9
     docs = store.spark.createDataFrame([("d", json.dumps(TRACE))], "doc_id string, body string")
-    store.ingest(docs)  # an id that is there is not written again
+    assert [tuple(r) for r in store.ingest(docs).collect()] == [("d", "id", "is taken")]  # an id that is there is not written again
     assert store.table("traces").count() == 2 and store.table("steps").count() == 2
 
 
