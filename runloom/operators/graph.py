@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,37 +65,50 @@ def causal_walk(steps: DataFrame, start: DataFrame | None = None) -> DataFrame:
 
 
 def step_tree(steps: DataFrame) -> DataFrame:
-    """(trace_id, step_number, depth, position): pre-order of each trace's parent tree. Every step comes once;
-    steps whose parent is missing, or that lie on a cycle, are roots."""
-
-    def walk(numbers: list[int], parents: list[int | None]) -> list[tuple[int, int]]:
-        known, below, roots = set(numbers), {}, []
-        for n, p in zip(numbers, parents):
-            if p is not None and p in known and p != n:
-                below.setdefault(p, []).append(n)
-            else:
-                roots.append(n)
-        seen, out = set(), []
-        for root in roots + numbers:  # what no root reaches lies on or under a cycle
-            todo = [(root, 0)]
-            while todo:
-                n, depth = todo.pop()
-                if n not in seen:
-                    seen.add(n)
-                    out.append((n, depth))
-                    todo += [(c, depth + 1) for c in reversed(below.get(n, []))]
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                out = walk([x["step_number"] for x in s], [x["parent_step_number"] for x in s])
-                cols = [pa.array([t] * len(out), pa.string()), *(pa.array([x[j] for x in out], pa.int32()) for j in (0, 1))]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(range(len(out)), pa.int32())], ["trace_id", "step_number", "depth", "position"])
-
-    one = F.struct(*(F.col(c).cast("int").alias(c) for c in ("step_number", "parent_step_number")))
-    nested = steps.groupBy("trace_id").agg(F.array_sort(F.collect_list(one)).alias("s"))
-    return nested.mapInArrow(run, "trace_id string, step_number int, depth int, position int")
+    """(trace_id, step_number, depth, position): pre-order of each trace's parent tree. Every step comes once; steps whose parent is missing are roots. In a
+    cycle, and beneath one, a step that is smaller than all above it is a root, so each cycle is cut at its smallest step; these roots come last.
+
+    Set-wise, so a trace of any size or depth is spread over the cluster: pointers to the 1st, 2nd, 4th ... step above are made by doubling; sizes of branches are summed up along
+    them; a step's place among its siblings is the sizes of the earlier ones, and its position the sum of places on its way to the root, again by doubling. The
+    rounds of equi-joins grow with the logarithm of the deepest chain.
+    """
+    nodes = cut(steps.groupBy("trace_id", F.col("step_number").cast("int").alias("n")).agg(F.min("parent_step_number").cast("int").alias("up")))
+    have = nodes.select("trace_id", F.col("n").alias("up"))
+    edges = cut(nodes.where("up is not null and up <> n").join(have, ["trace_id", "up"], "left_semi").select("trace_id", "n", "up"))
+    most = nodes.groupBy("trace_id").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0
+
+    def jumps(edges: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+        """(trace_id, n, to) for 1, 2, 4 ... steps up, and (trace_id, n, least) of the steps that never come to a root, least being the smallest above."""
+        level, levels, length = edges.select("trace_id", "n", F.col("up").alias("to"), F.col("up").alias("least")), [], 1
+        while not level.isEmpty():
+            if length > most:  # as far as no tree is high: these run in circles
+                return levels, level.select("trace_id", "n", "least")
+            levels.append(level.select("trace_id", "n", "to"))
+            on = level.select("trace_id", F.col("n").alias("to"), F.col("to").alias("__to"), F.col("least").alias("__least"))
+            level = cut(level.join(on, ["trace_id", "to"]).select("trace_id", "n", F.col("__to").alias("to"), F.least("least", "__least").alias("least")))
+            length *= 2
+        return levels, None
+
+    levels, circling = jumps(edges)
+    late = nodes.select("trace_id", "n").limit(0)
+    if circling is not None:
+        late = cut(circling.where("n <= least").select("trace_id", "n"))
+        edges = cut(edges.join(late, ["trace_id", "n"], "left_anti"))
+        levels, _ = jumps(edges)
+    size = nodes.select("trace_id", "n", F.lit(1).cast("bigint").alias("size"))
+    for level in levels:
+        more = size.join(level, ["trace_id", "n"]).groupBy("trace_id", F.col("to").alias("n")).agg(F.sum("size").alias("__more"))
+        size = cut(size.join(more, ["trace_id", "n"], "left").select("trace_id", "n", (F.col("size") + F.coalesce("__more", F.lit(0))).alias("size")))
+    rows = size.join(edges, ["trace_id", "n"], "left").join(late.withColumn("late", F.lit(True)), ["trace_id", "n"], "left")
+    before = Window.partitionBy("trace_id", "up").orderBy(F.coalesce("late", F.lit(False)), "n").rowsBetween(Window.unboundedPreceding, -1)
+    inner = F.when(F.col("up").isNotNull(), 1).otherwise(0)
+    place = cut(rows.select("trace_id", "n", inner.alias("depth"), (F.coalesce(F.sum("size").over(before), F.lit(0)) + inner).alias("position")))
+    for level in levels:
+        above = place.select("trace_id", F.col("n").alias("to"), F.col("depth").alias("__depth"), F.col("position").alias("__position"))
+        found = level.join(above, ["trace_id", "to"]).drop("to")
+        added = lambda c: (F.col(c) + F.coalesce(f"__{c}", F.lit(0))).alias(c)
+        place = cut(place.join(found, ["trace_id", "n"], "left").select("trace_id", "n", added("depth"), added("position")))
+    return place.select("trace_id", F.col("n").alias("step_number"), F.col("depth").cast("int").alias("depth"), F.col("position").cast("int").alias("position"))
 
 
 def fork(traces: DataFrame, steps: DataFrame, at: int) -> tuple[DataFrame, DataFrame]:
