@@ -54,14 +54,26 @@ def number_text(x: int | float) -> str:
 
 
 def stable(value) -> str:
-    """Canonical JSON: keys sorted at every level, no blanks, equal numbers written alike."""
-    if isinstance(value, bool) or value is None or isinstance(value, str):
-        return json.dumps(value, ensure_ascii=False)
-    if isinstance(value, (int, float)):
-        return number_text(value)
-    if isinstance(value, list):
-        return "[" + ",".join(map(stable, value)) + "]"
-    return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{stable(value[k])}" for k in sorted(value)) + "}"
+    """Canonical JSON: keys sorted at every level, no blanks, equal numbers written alike, at any depth."""
+    out: list[str] = []
+    todo: list = [(value,)]  # values in tuples, and texts that stand between them
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+            continue
+        (x,) = x
+        if isinstance(x, bool) or x is None or isinstance(x, str):
+            out.append(json.dumps(x, ensure_ascii=False))
+        elif isinstance(x, (int, float)):
+            out.append(number_text(x))
+        else:
+            parts: list = []
+            for k in x if isinstance(x, list) else sorted(x):
+                parts += [","] * bool(parts)
+                parts += [(k,)] if isinstance(x, list) else [json.dumps(k, ensure_ascii=False) + ":", (x[k],)]
+            todo += ["]" if isinstance(x, list) else "}", *reversed(parts), "[" if isinstance(x, list) else "{"]
+    return "".join(out)
 
 
 def canonical_text(text: str | None) -> str | None:

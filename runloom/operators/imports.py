@@ -17,20 +17,28 @@ CALLS, OUTPUTS = ("function_call", "custom_tool_call"), ("function_call_output",
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, n, line): the lines of text files with their true numbers from 1; a file may be read in splits."""
-    rows = spark.read.text(path).select("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"), "value")
-    w = Window.partitionBy("file_path").orderBy("file_block_start", "at")
-    return rows.select(F.col("file_path").alias("file"), F.row_number().over(w).alias("n"), F.col("value").alias("line"))
+    """(file, n, line): the lines of text files, ended by \\n or \\r\\n, with their true numbers from 1.
+
+    A huge file is read in splits. The ids of a split's lines follow each other, so a line's number is its place in its split and the count of the lines in
+    the splits before, and the only window is over splits; no file is sorted, and lines are not shuffled where the splits are few enough to be broadcast.
+    """
+    rows = spark.read.option("lineSep", "\n").text(path)
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), "value")
+    splits = rows.groupBy("file", "split").agg(F.min("at").alias("first"), F.count("*").alias("lines"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "split", (F.coalesce(F.sum("lines").over(before), F.lit(0)) - F.col("first") + 1).alias("shift"))
+    return rows.join(splits, ["file", "split"]).select("file", (F.col("at") + F.col("shift")).alias("n"), F.rtrim("value", F.lit("\r")).alias("line"))
 
 
 def documents(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(docs, bad) of files of JSON: docs (doc_id, body), bad (file, n).
+    """(docs, bad) of files of JSON: docs (doc_id, body), bad (file, n), with every line of over MOST characters.
 
     A file whose first line that is neither blank nor a // comment is a value by itself holds a value a line, and lines that are none are bad;
     any other is one document. An array stands for its elements.
     """
-    rows = lines.where((F.trim("line") != "") & ~F.ltrim("line").startswith("//") & (F.length("line") <= MOST))
-    rows = rows.withColumn("v", V.parsed(F.col("line")))
+    some = lines.where((F.trim("line") != "") & ~F.ltrim("line").startswith("//"))
+    long = some.where(F.length("line") > MOST).select("file", "n")
+    rows = some.where(F.length("line") <= MOST).withColumn("v", V.parsed(F.col("line")))
     first = rows.groupBy("file").agg(F.min_by(F.col("v").isNotNull(), "n").alias("by_line"))
     rows = rows.join(first, "file")
     one = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
@@ -38,7 +46,7 @@ def documents(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     every = rows.where("by_line").select("file", "n", "v").union(whole.select("file", "n", "v"))
     each = every.where("v is not null").select("file", "n", F.posexplode(F.when(V.is_array(F.col("v")), V.items(F.col("v"))).otherwise(F.array("v"))).alias("i", "x"))
     docs = each.select(F.concat_ws(":", "file", "n", "i").alias("doc_id"), F.to_json("x").alias("body"))
-    return docs, every.where("v is null").select("file", "n")
+    return docs, every.where("v is null").select("file", "n").union(long)
 
 
 def _plain(v: Column, path: str) -> Column:

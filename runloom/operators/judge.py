@@ -146,7 +146,7 @@ def unsafe_regex(pattern: str) -> bool:
         if isinstance(x, tuple) and x and x[0] in loops:
             low, high, body = x[1]
             many = high == re_constants.MAXREPEAT or high > 100
-            return inside and high > low or bad(body, inside or many)
+            return inside and high > low and (low, high) != (0, 1) or bad(body, inside or many)  # "?" splits an input in no more than two ways
         if isinstance(x, tuple) and x and x[0] is re_constants.BRANCH and inside:
             return True
         return any(bad(y, inside) for y in parts(x))

@@ -18,11 +18,11 @@ def cut_text(c: Column, n: int) -> Column:
 def windowed(c: Column, other: Column, n: int) -> Column:
     """n characters around the first place where a text differs from another, with dots where it was cut."""
     at = F.aggregate(
-        F.sequence(F.lit(0), F.lit(14)), F.struct(F.lit(0).alias("lo"), F.least(F.length(c), F.length(other)).alias("hi")),
+        F.sequence(F.lit(0), F.ceil(F.log2(F.least(F.length(c), F.length(other)) + F.lit(2.0))).cast("int")), F.struct(F.lit(0).alias("lo"), F.least(F.length(c), F.length(other)).alias("hi")),
         lambda s, _: F.when(F.substring(c, F.lit(1), F.ceil((s["lo"] + s["hi"]) / 2).cast("int")) == F.substring(other, F.lit(1), F.ceil((s["lo"] + s["hi"]) / 2).cast("int")),
                             F.struct(F.ceil((s["lo"] + s["hi"]) / 2).cast("int").alias("lo"), s["hi"].alias("hi")))
         .otherwise(F.struct(s["lo"].alias("lo"), (F.ceil((s["lo"] + s["hi"]) / 2).cast("int") - 1).alias("hi"))),
-    )["lo"]  # fmt: skip  # by halves: texts of up to 32,768 characters
+    )["lo"]  # fmt: skip  # by halves, as many as the length asks for
     first = F.greatest(F.lit(0), F.least(at - n // 4, F.length(c) - n)).cast("int")
     part = F.substring(c, first + 1, F.lit(n))
     return F.when(F.length(c) <= n, c).otherwise(F.concat(F.when(first > 0, "...").otherwise(""), part, F.when(first + n < F.length(c), "...").otherwise("")))
