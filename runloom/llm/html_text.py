@@ -1,17 +1,17 @@
 """HTML extraction by two-pass block rules.
 
-A page is cut into blocks at block-level tags. Blocks in navigation, footers, asides, forms, hidden elements and containers whose
+A page is cut into blocks at block-level tags. Blocks in navigation, footers, asides, forms (but for one that holds most of the text), hidden elements and containers whose
 class or id names boilerplate (as a whole or by its end, as in site-footer, not as in with-sidebar or entry-header) are bad;
 but a name around the page's only article or main element, or on its only long text with many stop words, is passed over. Pass 1 decides every other block from the share of stop words, its length and its link
 density: bad with many links, good when long with many stop words, bad when long with few, and otherwise ambiguous. The
 article (or else main) element is a vote beside that: inside it, few stop words make a block ambiguous only; outside it,
-only long text with many stop words is good at once. The vote is void where such text outside outweighs the text inside.
+only long text with many stop words is good at once. Text in a script of which no stop words are known is decided by its length and the ends of its sentences. The vote is void where such text outside outweighs the text inside.
 Pass 2 gives ambiguous blocks the label of the nearest decided neighbours: good where both sides are good, or the nearer one
 is; where the sides differ, the vote decides; headings look to the block after them. Inside the article only its own blocks
 are neighbours, and it is good where none is decided.
 
 Defined results: null, empty and text-free pages give empty text; unclosed tags, stray "<" and quotes, unknown references and
-unclosed comments or scripts don't fail, nor do they take more than linear time (an unclosed comment or script hides the rest); rows with null ids or urls
+unclosed comments or scripts don't fail, nor do they take more than linear time (an unclosed comment or script hides the rest; a head ends where something stands that it can't hold); rows with null ids or urls
 and repeated rows are carried; other columns are passed over; an empty table gives no rows.
 """
 
@@ -38,7 +38,9 @@ BLOCK_TAGS = frozenset(
     "thead title tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BAD_TAGS = frozenset("nav aside footer form head menu dialog fieldset".split())
+BAD_TAGS = frozenset("nav aside footer head menu dialog".split())
+FORM_TAGS = frozenset("form fieldset".split())
+HEAD_TAGS = frozenset("head title meta link base style script noscript template".split())  # what a head may hold
 BAD_NAMES = frozenset(
     "ad ads adv advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies "
     "disclaimer disqus foot footer footnav head header masthead menu modal nav navbar navigation newsletter notice notices overlay popup "
@@ -47,7 +49,7 @@ BAD_NAMES = frozenset(
 # Parts of a name that turn its meaning, that make a header the text's own, and that say nothing after another part.
 NO_PARTS = frozenset("no not non with without has hide".split())
 OWN_PARTS, OWN_HEADERS = frozenset("entry article post".split()), frozenset("head header banner masthead".split())
-PLACE_PARTS = frozenset("list area box slot block section left right top bottom".split())
+PLACE_PARTS = frozenset("list area box slot block section left right top bottom thread threads".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 STOP_WORDS = frozenset(
     "the of and to a in that is was it for on with as be by this are from or at an not but have which they you his her we "
@@ -67,7 +69,11 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_VALUE = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", re.I)
+_STYLE = re.compile(r"(?:^|\s)style\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
+_END = re.compile(r"[.!?。！？؟।…](?:\s|$|[\"'”»）)])|[。！？]")
 
 
 @dataclass
@@ -79,6 +85,7 @@ class Block:
     article: bool
     main: bool
     heading: bool
+    form: bool
 
 
 def bad_name(name: str) -> bool:
@@ -97,7 +104,9 @@ def names_boilerplate(attrs: str) -> tuple[bool, bool]:
     """Whether an element is hidden or has a role of boilerplate, and whether a class or id names it so."""
     if not attrs or not attrs.strip():
         return False, False
-    hard, soft = bool(_HIDDEN.search(attrs)), False
+    style = _STYLE.search(attrs)
+    hard = bool(_HIDDEN.search(_VALUE.sub("=", attrs)) or style and _UNSEEN.search("".join(filter(None, style.groups()))))
+    soft = False
     for kind, *values in _NAMED.findall(attrs):
         for name in "".join(values).lower().split():
             if kind.lower() == "role":
@@ -125,7 +134,7 @@ def blocks_of(page: str) -> list[Block]:
                 holds = depth.get("article") or depth.get("main")
                 names = 0 if not named else 1 if holds and named == around else 2
                 heading = any(depth.get(f"h{i}") for i in range(1, 7))
-                out.append(Block(whole, linked, bad > 0, names, bool(depth.get("article")), bool(depth.get("main")), heading))
+                out.append(Block(whole, linked, bad > 0, names, bool(depth.get("article")), bool(depth.get("main")), heading, bool(depth.get("form") or depth.get("fieldset"))))
             text.clear()
         linked = 0
 
@@ -164,6 +173,9 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag == "br":
             text.append(" ")
+        if depth.get("head") and tag not in HEAD_TAGS:  # its end tag may be left out
+            end_block()
+            close("head")
         if tag in BLOCK_TAGS:
             end_block()
             if depth.get("p") and stack and tag != "hr":
@@ -204,6 +216,11 @@ def votes(found: list[Block], bad: list[bool], rules: list[bool | None]) -> list
 def by_rules(b: Block) -> bool | None:
     """Pass 1 for a block by itself, whatever the markup says."""
     n = len(b.text)
+    foreign = sum(c > "\u024f" and c.isalpha() for c in b.text)
+    if 2 * foreign > n and b.linked <= MAX_LINKS * n:  # a script of which no stop words are known: by length and ends of sentences
+        size = n * (2 if sum("\u2e80" <= c <= "\uffdc" for c in b.text) * 2 > n else 1)
+        ends = len(_END.findall(b.text))
+        return None if size < SHORT else True if ends and (size > LONG or ends > 1) else None if ends or size <= LONG else False
     words = b.text.lower().split()
     stop = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / max(1, len(words))
     if b.linked > MAX_LINKS * n:
@@ -228,6 +245,12 @@ def nearest(label: list[bool | None]) -> list[tuple[bool | None, int]]:
 def classify(found: list[Block]) -> list[bool]:
     """Whether each block belongs to the main text."""
     rules = [by_rules(b) for b in found]
+    # forms are boilerplate, but for one that holds most of the text, as a page that is one form does
+    told = [b for b in found if not b.bad and b.linked <= MAX_LINKS * len(b.text)]
+    inside = sum(len(b.text) for b in told if b.form)
+    if 2 * inside <= sum(len(b.text) for b in told):
+        for b in found:
+            b.bad = b.bad or b.form
     # a name around the only article or main element doesn't make it bad
     own = any((b.article or b.main) and not b.bad and not b.named for b in found)
     bad = [b.bad or b.named > (0 if own else 1) for b in found]
