@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..operators import hooks, judge
+from ..operators import enforce, hooks, judge
 from ..sources.fixtures import Store, table
 from .queries import query
 
@@ -77,3 +78,48 @@ query("execution_traces", """select concat('u', cast(user_id as string)) as stre
  concat('say ', cast(max(event_id) filter (event_type = 'view') as string)) as answer from events group by user_id""", raw=True)(
     lambda s: hooks.execution_stream(execution_lines(s))["traces"].selectExpr("stream", "status", "coalesce(error, 'm') as error", "total_tokens", "steps", "coalesce(answer, 'say ') as answer")
 )
+
+
+def answered(s: Store) -> DataFrame:
+    """Events as verdicts on calls in five dialects, some of which are confirmed."""
+    return table(s.spark, s.sf_dir, "events").selectExpr(
+        "event_id", "element_at(array('claude-code', 'codex', 'gemini', 'crush', 'unknown'), cast(user_id % 5 + 1 as int)) as dialect", "concat('Pre', event_type) as event_name",
+        "element_at(array('allow', 'warn', 'require_review', 'deny'), cast(event_id % 4 + 1 as int)) as verdict", "if(event_id % 7 = 0, null, concat('p', event_id % 7)) as policy",
+        "if(event_id % 3 = 0, null, concat('says \"', event_id, '\"')) as reason", "event_id % 8 = 2 as confirmed",
+    )
+
+
+query("guard_exits", """select event_id, case event_id % 4 when 0 then 'allow' when 1 then 'warn' when 2 then case when event_id % 8 = 2 then 'allow' else 'deny' end else 'deny' end as asked,
+ case event_id % 4 when 0 then 'allow' when 1 then 'warn' else 'deny' end as unasked, cast(case when event_id % 4 = 3 or (event_id % 4 = 2 and event_id % 8 <> 2) then 2 else 0 end as int) as asked_exit,
+ cast(case when event_id % 4 in (2, 3) then 2 else 0 end as int) as unasked_exit from events""", raw=True)(
+    lambda s: enforce.exits(
+        enforce.exits(answered(s), interactive=True).selectExpr("event_id", "verdict", "confirmed", "final as asked", "exit_code as asked_exit")
+    ).selectExpr("event_id", "asked", "final as unasked", "asked_exit", "exit_code as unasked_exit")
+)
+query("hook_responses", """with e as (select *, user_id % 5 as d, event_id % 4 as v, 'Pre' || event_type as event,
+ coalesce(case when event_id % 3 <> 0 then 'says \\"' || event_id || '\\"' end, trim('blocked by policy ' || case when event_id % 7 = 0 then '' else 'p' || (event_id % 7) end)) as why from events)
+ select event_id, case when v = 1 and d < 2 then '{"systemMessage":"runloom: ' || why || '"}' when v in (2, 3) and d < 2 then '{"hookSpecificOutput":{"hookEventName":"' || event || '","permissionDecision":"'
+ || case v when 2 then 'ask' else 'deny' end || '","permissionDecisionReason":"' || why || '"}}' when v in (2, 3) and d = 2 then '{"decision":"deny","reason":"' || case v when 2 then 'review required: ' else '' end || why || '"}' end as stdout,
+ case when v in (2, 3) and d > 2 then replace(why, '\\"', '"') end as stderr, cast(case when v in (2, 3) and d > 2 then 2 else 0 end as int) as exit_code from e""", raw=True)(
+    lambda s: enforce.responses(answered(s)).select("event_id", "stdout", "stderr", "exit_code")
+)
+
+
+def ended_runs(s: Store) -> DataFrame:
+    """Processes of nine in ten traces: some fail, some are killed, some have declared a status, and of some it was repaired."""
+    return s.traces.selectExpr("id", "cast(substring(id, 5) as bigint) as k").where("k % 10 <> 9").selectExpr(
+        "id", "k * 1000 as started_ms", "k * 1000 + 250 as ended_ms", "if(k % 6 = 0, null, cast(k % 4 as int)) as code", "case when k % 6 = 0 then if(k % 12 = 0, 'SIGKILL', 'SIGTERM') end as killed",
+        "k % 5 = 0 as declared", "k % 8 = 0 as repaired",
+    )
+
+
+query("run_finalised", """, r as (select *, cast(substr(id, 5) as bigint) as k from traces),
+ x as (select *, k % 10 <> 9 as ran, case when k % 6 = 0 then case when k % 12 = 0 then 137 else 143 end else k % 4 end as code from r),
+ y as (select *, ran and k % 5 <> 0 and (status = 'running' or code <> 0 or k % 8 = 0) as takes from x)
+ select id, case when takes then case when code = 0 then 'completed' else 'failed' end else status end as status, case when takes or (ran and k % 5 = 0 and total_duration_ms is null) then 250 else total_duration_ms end as total_duration_ms,
+ case when takes and k % 6 = 0 then case when k % 12 = 0 then 'child killed by signal SIGKILL (exit 137)' else 'child killed by signal SIGTERM (exit 143)' end
+ when takes and code <> 0 then 'child exited with code ' || code else error end as error, cast(case when ran then code end as varchar) as exit_code from y""")(
+    lambda s: enforce.finalised(s.traces.withColumns({"metadata": F.lit('{"a":[1]}')}), ended_runs(s)).select(
+        "id", "status", "total_duration_ms", "error", F.get_json_object("metadata", "$.exit_code").alias("exit_code")
+    )
+)

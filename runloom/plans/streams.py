@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.workers import shared
 from ..operators import otlp, validate
 from ..sources.fixtures import Store
-from ..streaming import stateful
+from ..streaming import stateful, totals
 from . import ingests, telemetry
-from .queries import ORACLES, query
+from .queries import ORACLES, eff, query
 
 BATCHES, FILES = 4, 4
 
@@ -57,3 +57,16 @@ def streamed_spans(s: Store) -> DataFrame:
 query("stream_otlp_steps", ORACLES["otlp_steps"], raw=True)(
     lambda s: streamed_spans(s).select("trace_id", "step_number", "step_type", "name", "input", "duration_ms", "tokens_used", "model", "error", "parent_step_number")
 )
+
+
+def standing(s: Store) -> DataFrame:
+    """Groups of the traces, appended in batches."""
+    fields = ("id", "agent_name", "status", "parent_trace_id", "step_count", "duration_ms", "effective_tokens", "total_cost_usd")
+    traces, root = replayed(s.spark, eff(s).select(*fields), "id")
+    totals.keep(traces, f"{root}/out", f"{root}/state").awaitTermination()
+    return totals.groups(s.spark, f"{root}/out")
+
+
+query("stream_store_totals", ORACLES["store_totals"], raw=True)(lambda s: totals.store_totals(standing(s)))
+query("stream_status_counts", ORACLES["status_counts"], raw=True)(lambda s: totals.status_counts(standing(s)))
+query("stream_agent_counts", ORACLES["agent_counts"], raw=True)(lambda s: totals.agent_counts(standing(s)))
