@@ -290,6 +290,36 @@ def span_stream(spans: DataFrame) -> DataFrame:
     return rows.groupBy("trace_id").transformWithState(SpanSteps(), CHANGES, "Append", "None")
 
 
+LINE = "trace_id string, step_number int, phase string, step_type string, name string, error string"
+
+
+class Watch(StatefulProcessor):
+    """Lines for someone who watches a run: one when a step begins and one when it is done, each once, however often the step is given out anew."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "step string", "at bigint")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        for r in sorted(rows, key=lambda r: (r["version"], r["step_number"] or 0)):
+            step = json.loads(r["body"])
+            if r["kind"] != "step" or r["gone"]:
+                continue
+            done = step.get("output") is not None or step.get("error") is not None
+            for phase in ["begun", "done"][: 1 + done]:
+                if not self.seen.containsKey((f"{r['step_number']} {phase}",)):
+                    self.seen.updateValue((f"{r['step_number']} {phase}",), (r["version"],))
+                    yield Row(trace_id=key[0], step_number=r["step_number"], phase=phase, step_type=step.get("step_type"), name=step.get("name"), error=step.get("error"))
+
+    def close(self) -> None:
+        pass
+
+
+def watch_stream(changes: DataFrame) -> DataFrame:
+    """LINE of a stream of CHANGES, as read from where they were written. A last run over all that is there drains it before the end."""
+    keyed(changes.sparkSession)
+    return changes.groupBy("trace_id").transformWithState(Watch(), LINE, "Append", "None")
+
+
 def start(changes: DataFrame, out: str, checkpoint: str, **trigger: Any) -> StreamingQuery:
     """Appends the changes to Parquet files in out, each once; by default until all that is there is read."""
     stream = changes.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
