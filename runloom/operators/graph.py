@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.jsons import merged
 from ..functions.workers import cut
 
 
@@ -121,3 +122,47 @@ def fork(traces: DataFrame, steps: DataFrame, at: int) -> tuple[DataFrame, DataF
     )
     copied = steps.where(F.col("step_number") <= at).join(has.withColumnRenamed("id", "trace_id"), "trace_id", "left_semi")
     return forks, copied.withColumn("trace_id", new(F.col("trace_id")))
+
+
+def forks(
+    tables: dict[str, DataFrame], points: DataFrame, started_at: str, salt: str = "", input: str | None = None, context: str | None = None, tag: str | None = None
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Whole forks of traces at points (id, at): traces, steps, decisions and snapshots of the copies, and faults (id, at, message) of points that are no steps.
+
+    A copy runs, has an id of its own, made of salt, id and point, and keeps the tags, session and metadata of its original, with forked_from and forked_at_step on top of these. input takes the
+    place of its input, context that of the context window at the fork point, where a snapshot is made if there was none; tag is one more tag.
+    """
+    key = ["trace_id", "step_number"]
+    new = F.concat(F.lit("trc_"), F.substring(F.sha2(F.concat_ws("/", F.lit(salt), "id", F.col("at").cast("string")), 256), 1, 16))
+    asked = points.select("id", F.col("at").cast("int").alias("at")).distinct()
+    there = tables["steps"].select(F.col("trace_id").alias("id"), F.col("step_number").alias("at")).distinct()
+    have = cut(asked.join(tables["traces"].select("id"), "id", "left_semi").join(there, ["id", "at"], "left_semi").withColumn("new", new))
+    stepped = there.select("id").distinct().withColumn("__some", F.lit(True))
+    lost = asked.join(have, ["id", "at"], "left_anti").join(stepped, "id", "left")
+    faults = lost.select("id", "at", F.when(F.col("__some"), "no such step to fork at").otherwise("no such trace, or one without steps").alias("message"))
+
+    own = tables["traces"]
+    meta = F.when(F.coalesce(F.schema_of_variant(F.try_parse_json("metadata")).startswith("OBJECT"), F.lit(False)), F.col("metadata")).otherwise("{}")
+    proof = F.to_json(F.struct(F.col("id").alias("forked_from"), F.col("at").alias("forked_at_step")))
+    gone = ("output", "ended_at", "total_duration_ms", "total_tokens", "total_cost_usd", "error")
+    values = {c: F.lit(None).cast(own.schema[c].dataType) for c in gone if c in own.columns} | {
+        "parent_trace_id": F.col("id"), "id": F.col("new"), "status": F.lit("running"), "started_at": F.lit(started_at), "trigger": F.lit("manual"), "forked_from_step": F.col("at"),
+        "metadata": F.to_json(merged(meta, proof)),
+    }
+    values |= {"input": F.lit(input)} if input is not None else {}
+    values |= {"tags": F.concat(F.coalesce("tags", F.array().cast("array<string>")), F.array(F.lit(tag)))} if tag is not None else {}
+    copied = own.join(have, "id")
+    traces = copied.select(*(values[c].alias(c) if c in values else F.col(c) for c in dict.fromkeys((*own.columns, "forked_from_step", "parent_trace_id"))))
+
+    def upto(df: DataFrame) -> DataFrame:
+        rows = df.join(have.withColumnRenamed("id", "trace_id"), "trace_id").where("step_number <= at")
+        return rows.select(*(F.col("new").alias("trace_id") if c == "trace_id" else F.col(c) for c in df.columns))
+
+    snapshots = upto(tables["snapshots"])
+    if context is not None:
+        at = have.select(F.col("new").alias("trace_id"), F.col("at").alias("step_number"), F.lit(True).alias("__put"))
+        both = snapshots.join(at, key, "full_outer")
+        blank = {"context_window": "[]", "environment": "{}", "tool_state": "{}", "token_count": 0}
+        put = lambda c: F.when(F.col("__put"), F.lit(context)).otherwise(F.col(c)) if c == "context_window" else F.coalesce(F.col(c), F.lit(blank[c])) if c in blank else F.col(c)
+        snapshots = both.select(*(put(c).alias(c) for c in tables["snapshots"].columns))
+    return {"traces": traces, "steps": upto(tables["steps"]), "decisions": upto(tables["decisions"]), "snapshots": snapshots}, faults

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import jsons, times
-from ..operators import browse, compare, export, records
+from ..operators import browse, compare, export, graph, records
 from ..sources.fixtures import Store, table
 from .queries import SINCE, eff, query
 
@@ -154,3 +154,27 @@ query("duration_texts", """select o_orderkey, case when o_orderkey % 5 = 0 then
         "o_orderkey", times.duration_text(F.expr("case when o_orderkey % 5 <> 0 then o_orderkey % 100000 end")).alias("took")
     )
 )
+
+
+def whole_forks(s: Store) -> DataFrame:
+    """Every second trace is forked at its third step, and every fifth at one that nobody has."""
+    keyed = s.traces.select("id", F.substring("id", 5, 20).cast("bigint").alias("k"))
+    points = keyed.where("k % 2 = 0").select("id", F.lit(3).alias("at")).union(keyed.where("k % 5 = 0").select("id", F.lit(99).alias("at")))
+    tables = {n: s.records(n) for n in ("decisions", "snapshots")} | {"traces": s.traces.withColumn("metadata", F.lit('{"k":1,"forked_from":"x"}')), "steps": s.steps}
+    made, faults = graph.forks(tables, points, "2024-01-01T00:00:00Z", input='{"new":1}', context='{"mine":1}')
+    count = lambda name, how=F.count("*"): made[name].groupBy(F.col("trace_id").alias("id")).agg(how.alias(name))
+    mine = made["snapshots"].where("context_window = '{\"mine\":1}'").groupBy(F.col("trace_id").alias("id")).agg(F.max("step_number").alias("mine"))
+    out = made["traces"].join(count("steps"), "id", "left").join(count("decisions"), "id", "left").join(count("snapshots"), "id", "left").join(mine, "id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
+    rows = out.select(F.col("parent_trace_id").alias("original"), "status", "input", "metadata", "session_id", zero("steps"), zero("decisions"), zero("snapshots"), "mine")
+    none = F.lit(None).cast("string")
+    bad = faults.select(F.col("id").alias("original"), F.col("message").alias("status"), *(none.alias(c) for c in ("input", "metadata", "session_id")), *(F.lit(0).cast("bigint").alias(c) for c in ("steps", "decisions", "snapshots")), F.lit(None).cast("int").alias("mine"))
+    return rows.union(bad)
+
+
+query("fork_whole", """, h as (select distinct trace_id as hid from steps), p as (select id, 3 as pt, session_id from traces where cast(substr(id, 5) as bigint) % 2 = 0 union all select id, 99, null from traces where cast(substr(id, 5) as bigint) % 5 = 0),
+ g as (select p.*, s.trace_id is not null as fine from p left join steps s on s.trace_id = p.id and s.step_number = p.pt)
+ select id as original, case when fine then 'running' when id in (select hid from h) then 'no such step to fork at' else 'no such trace, or one without steps' end as status, case when fine then '{"new":1}' end as input,
+ case when fine then '{"k":1,"forked_from":"' || id || '","forked_at_step":3}' end as metadata, case when fine then session_id end as session_id,
+ case when fine then (select count(*) from steps s where s.trace_id = g.id and s.step_number <= g.pt) else 0 end as steps, case when fine then (select count(*) from decisions d where d.trace_id = g.id and d.step_number <= g.pt) else 0 end as decisions,
+ case when fine then (select count(*) from snapshots d where d.trace_id = g.id and d.step_number < g.pt) + 1 else 0 end as snapshots, cast(case when fine then 3 end as int) as mine from g""")(whole_forks)

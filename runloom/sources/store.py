@@ -207,6 +207,21 @@ class TraceStore(VersionedTables):
         self.change(work)
         return out[0]
 
+    def fork(self, points: DataFrame, started_at: str, input: str | None = None, context: str | None = None, tag: str | None = None) -> DataFrame:
+        """Forks traces at points (id, at) as graph.forks() does; faults (id, at, message)."""
+        asked, salt = cut(points.select("id", "at")), uuid.uuid4().hex
+        out: list[DataFrame] = []
+
+        def work(snap: Snapshot) -> dict:
+            touched = self.touched(asked.select("id"))
+            tables = {n: snap.table(n, touched) for n in ("traces", "steps", "decisions", "snapshots")}
+            made, faults = graph.forks(tables, asked, started_at, salt, input, context, tag)
+            out[:] = [faults]
+            return {n: (rows, None) for n, rows in made.items()}
+
+        self.change(work)
+        return out[0]
+
     def merge_spans(self, spans: DataFrame, source_format: str = "otel") -> None:
         """Upserts a batch of otlp.read_spans(): every span once, in whichever batch it came first, into the trace that has its telemetry id, or else its session and this format
         (no fork; the earliest), or into a new one.

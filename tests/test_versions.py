@@ -167,3 +167,20 @@ def test_spans_find_a_stored_trace(spark, store):
     assert rows(store.table("traces"), "id", "parent_trace_id") == [("a", None), ("f", None), ("later", None)] and store.table("spans").where("trace_id = 'b'").count() == 0
     store.merge_spans(batch(spark, 3, span("q", "", 9, session="S", trace="")))  # nothing is left to merge into
     assert store.table("traces").count() == 4
+
+
+def test_forks_in_the_store(spark, store):
+    step = lambda n, **more: {"step_number": n, "step_type": "thought", "name": f"n{n}"} | more
+    trace = {"id": "a", "agent_name": "x", "status": "failed", "error": "e", "tags": ["p"], "metadata": {"m": [1]}, "input": {"i": 1}, "steps": [
+        step(1, decision={"chosen": "c"}, snapshot={"context_window": {"w": 1}}), step(3, parent_step=1), step(4, snapshot={"context_window": {"w": 4}, "token_count": 7}),
+    ]}
+    store.ingest(frame(spark, "doc_id int, body string", (0, json.dumps(trace)), (1, json.dumps({"id": "b", "agent_name": "x", "steps": []}))))
+    points = frame(spark, "id string, at int", ("a", 3), ("a", 4), ("a", 2), ("b", 1), ("no", 1), ("a", 3))
+    faults = store.fork(points, "2024-01-01T00:00:00Z", context='{"mine": 1}', tag="t")
+    assert rows(faults, "id", "at", "message") == [("a", 2, "no such step to fork at"), ("b", 1, "no such trace, or one without steps"), ("no", 1, "no such trace, or one without steps")]
+    made = {json.loads(r.metadata)["forked_at_step"]: r for r in store.table("traces").where("parent_trace_id = 'a'").collect()}
+    assert set(made) == {3, 4} and {(r.status, r.error, r.input, tuple(r.tags), json.loads(r.metadata)["m"][0]) for r in made.values()} == {("running", None, '{"i":1}', ("p", "t"), 1)}
+    of = lambda name, at, *cols: rows(store.table(name).where(f"trace_id = '{made[at].id}'"), *cols)
+    assert of("steps", 3, "step_number", "parent_step_number") == [(1, None), (3, 1)] and of("decisions", 3, "chosen") == [("c",)]
+    assert of("snapshots", 3, "step_number", "context_window", "token_count") == [(1, '{"w":1}', 0), (3, '{"mine": 1}', 0)]
+    assert of("snapshots", 4, "step_number", "context_window", "token_count") == [(1, '{"w":1}', 0), (4, '{"mine": 1}', 7)]
