@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.jsons import merged
 from ..functions.workers import cut
 
+HOPS = 8  # steps of a causal chain that are followed in one job
+
 
 def decision_points(steps: DataFrame) -> DataFrame:
     return steps.where("step_type = 'decision'")
@@ -43,25 +45,33 @@ def antecedents(steps: DataFrame) -> DataFrame:
 def causal_walk(steps: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """(trace_id, hop, step_number, link) from each trace's last step, or from start (trace_id, step_number), back to the first cause.
 
-    References point strictly backwards. Pointers are doubled: after r rounds of equi-joins the chains hold their first 2**r
-    steps, so the rounds grow with the logarithm of the longest chain and no trace is gathered into one row.
+    References point strictly backwards. The first ``HOPS`` steps of every chain are joined on in one job, which shuffles the references once. Where chains are longer, the
+    pointers of their traces only are doubled: after r rounds of equi-joins the chains hold their next 2**r steps, so the rounds grow with the logarithm
+    of the longest chain and no trace is gathered into one row.
     """
     own = F.max(F.struct("antecedent", "link")).alias("x")
     ante = cut(antecedents(steps).groupBy("trace_id", "step_number").agg(own).select("trace_id", "step_number", "x.*"))
     if start is None:
         start = ante.groupBy("trace_id").agg(F.max("step_number").alias("step_number"))
-    reached = start.select("trace_id", "step_number", F.lit(0).alias("hop"))
-    jump = ante.where("antecedent is not null").select("trace_id", "step_number", F.col("antecedent").alias("to"))
-    size = 1  # each jump leads over so many steps
-    while True:
-        new = reached.join(jump, ["trace_id", "step_number"])
-        new = cut(new.select("trace_id", F.col("to").alias("step_number"), (F.col("hop") + size).alias("hop")))
-        if new.isEmpty():
-            break
-        reached = reached.union(new)
-        on = jump.select("trace_id", F.col("step_number").alias("to"), F.col("to").alias("__to"))
-        jump = cut(jump.join(on, ["trace_id", "to"]).select("trace_id", "step_number", F.col("__to").alias("to")))
-        size *= 2
+    walk = start.select("trace_id", F.col("step_number").alias("s0"))
+    for k in range(HOPS):
+        walk = walk.join(ante.select("trace_id", F.col("step_number").alias(f"s{k}"), F.col("antecedent").alias(f"s{k + 1}")), ["trace_id", f"s{k}"], "left")
+    walk = cut(walk)
+    reached = walk.select("trace_id", F.posexplode(F.array(*(f"s{k}" for k in range(HOPS)))).alias("hop", "step_number")).where("step_number is not null")
+    new = walk.where(f"s{HOPS} is not null").select("trace_id", F.col(f"s{HOPS}").alias("step_number"), F.lit(HOPS).alias("hop"))
+    if not new.isEmpty():
+        jump = ante.where("antecedent is not null").join(new.select("trace_id").distinct(), "trace_id", "left_semi").select("trace_id", "step_number", F.col("antecedent").alias("to"))
+        further, size = new, 1  # each jump leads over so many steps
+        while True:
+            new = further.join(jump, ["trace_id", "step_number"])
+            new = cut(new.select("trace_id", F.col("to").alias("step_number"), (F.col("hop") + size).alias("hop")))
+            if new.isEmpty():
+                break
+            further = further.union(new)
+            on = jump.select("trace_id", F.col("step_number").alias("to"), F.col("to").alias("__to"))
+            jump = cut(jump.join(on, ["trace_id", "to"]).select("trace_id", "step_number", F.col("__to").alias("to")))
+            size *= 2
+        reached = reached.unionByName(further)
     return reached.join(ante, ["trace_id", "step_number"]).select("trace_id", "hop", "step_number", "link")
 
 
