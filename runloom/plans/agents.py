@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import enforce, hooks, judge
+from ..operators import enforce, hooks, judge, replies
 from ..sources.fixtures import Store, table
 from .queries import query
 
@@ -123,3 +123,21 @@ query("run_finalised", """, r as (select *, cast(substr(id, 5) as bigint) as k f
         "id", "status", "total_duration_ms", "error", F.get_json_object("metadata", "$.exit_code").alias("exit_code")
     )
 )
+
+
+def judge_replies(s: Store) -> DataFrame:
+    """Events as replies: plain, fenced after a quoted block, inline after a quoted object, without JSON, and of four presets."""
+    marks = lambda x: "'{{\"relevance\":', {0}, ',\"completeness\":\"', {0}, '\",\"coherence\":', {0}, ',\"accuracy\":', {0}, '}}'".format(x)
+    return table(s.spark, s.sf_dir, "events").selectExpr(
+        "event_id as trace_id", "case when event_id % 8 < 4 then 'ai-quality-review' when event_id % 8 < 6 then 'ai-security-audit' when event_id % 8 = 6 then 'ai-optimization' else 'ai-root-cause' end as preset",
+        f"case event_id % 8 when 0 then concat({marks('event_id % 11')}) when 1 then concat('quoted ```json\n', {marks(10)}, '\n``` mine ```\n', {marks('event_id % 11')}, '\n```')"
+        f" when 2 then concat('it says ', {marks(10)}, ' but I say ', {marks('event_id % 11')}, ' \"}}\" end') when 3 then 'it is fine'"
+        " when 4 then concat('{\"risk_level\":\"none\",\"findings\":[{\"severity\":\"low\"},{\"severity\":\"', if(event_id % 3 = 0, 'Critical', 'odd'), '\"}]}') when 5 then '{\"risk_level\":7}'"
+        " when 6 then concat('{\"efficiency_score\":\"', event_id % 13, '\"}') else concat('{\"confidence\":', if(event_id % 3 = 0, 'true', '0.6'), '}') end as reply",
+    )
+
+
+query("judge_replies", """with x as (select event_id, case event_id % 8 when 0 then event_id % 11 / 10.0 when 1 then event_id % 11 / 10.0 when 2 then event_id % 11 / 10.0 when 3 then 0
+ when 4 then case when event_id % 3 = 0 then 0.0 else 0.8 end when 5 then 0.5 when 6 then least(10, event_id % 13) / 10.0 else case when event_id % 3 = 0 then 0 else 0.6 end end as s from events)
+ select cast(event_id as varchar) as trace_id, cast(s as double) as score, s >= case when event_id % 8 < 4 then 0.7 when event_id % 8 < 6 then 0.8 when event_id % 8 = 6 then 0.6 else 0.5 end as passed,
+ case when event_id % 8 = 3 then 'no JSON in the reply' end as error from x""", raw=True)(lambda s: replies.verdicts(judge_replies(s)).select("trace_id", "score", "passed", "error"))
