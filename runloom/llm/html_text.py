@@ -73,6 +73,7 @@ _VALUE = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", re.I)
 _STYLE = re.compile(r"(?:^|\s)style\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
+_OTHER = re.compile(r"[^\x00-\u024f\W]")  # letters of scripts that are not Latin
 _END = re.compile(r"[.!?。！？؟।…](?:\s|$|[\"'”»）)])|[。！？]")
 
 
@@ -216,7 +217,7 @@ def votes(found: list[Block], bad: list[bool], rules: list[bool | None]) -> list
 def by_rules(b: Block) -> bool | None:
     """Pass 1 for a block by itself, whatever the markup says."""
     n = len(b.text)
-    foreign = sum(c > "\u024f" and c.isalpha() for c in b.text)
+    foreign = 0 if b.text.isascii() else len(_OTHER.findall(b.text))
     if 2 * foreign > n and b.linked <= MAX_LINKS * n:  # a script of which no stop words are known: by length and ends of sentences
         size = n * (2 if sum("\u2e80" <= c <= "\uffdc" for c in b.text) * 2 > n else 1)
         ends = len(_END.findall(b.text))
