@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,32 +151,3 @@ def execution_stream(lines: DataFrame) -> dict[str, DataFrame]:
     status = F.when(F.col("failed"), "failed").when(F.col("ended"), "completed").otherwise("timeout")
     out = traces.join(last, "stream", "left").select("stream", status.alias("status"), "error", "total_tokens", F.coalesce("steps", F.lit(0).cast("bigint")).alias("steps"), "answer")
     return {"traces": out, "steps": steps.drop("n", "said")}
-
-
-def tool_stream(lines: DataFrame) -> DataFrame:
-    """(stream, open_n, close_n, name) of streams of tool_use and tool_result lines (stream, n, line): a result closes the call of its id, else the oldest open one of its name,
-    else, where it has no name, the oldest open one. The calls of one stream are folded in one group, as each result depends on all before it."""
-    v = V.parsed(F.col("line"))
-    rows = lines.select("stream", "n", V.text(v, "$.type").alias("type"), F.coalesce(V.text(v, "$.id"), V.text(v, "$.tool_use_id")).alias("call"), V.text(v, "$.name").alias("name"))
-    rows = rows.where("type in ('tool_use', 'tool_result')")
-
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        still: dict[int, tuple] = {}  # in order of opening
-        ids: dict[str, int] = {}
-        out = []
-        for r in pdf.sort_values("n").itertuples():
-            if r.type == "tool_use":
-                still[r.n] = (r.name or "tool",)
-                if r.call:
-                    ids[r.call] = r.n
-                continue
-            at = ids.get(r.call) if r.call else None
-            if at not in still:
-                at = next((n for n, (name,) in still.items() if not r.name or name == r.name), None)
-            if at is not None:
-                out.append((r.stream, at, r.n, still.pop(at)[0]))
-        out += [(pdf["stream"].iloc[0], n, None, name) for n, (name,) in still.items()]
-        frame = pd.DataFrame(out, columns=["stream", "open_n", "close_n", "name"])
-        return frame.astype({"open_n": "Int64", "close_n": "Int64"})
-
-    return rows.groupBy("stream").applyInPandas(pair, "stream string, open_n bigint, close_n bigint, name string")

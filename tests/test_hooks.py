@@ -6,17 +6,6 @@ from runloom.functions import variants as V
 from runloom.operators import hooks
 
 
-def test_tool_stream_pairs_by_id_then_name_then_any(spark):
-    use = lambda i, n: {"type": "tool_use", "id": i, "name": n}
-    res = lambda i, n: {"type": "tool_result", "id": i, "name": n}
-    lines = [use("a", "x"), use(None, "y"), use("c", "x"), res("c", "y"), res(None, "z"), res("q", "x"), res(None, None), res(None, None), use("d", "x")]
-    rows = [("s", i, json.dumps(x)) for i, x in enumerate(lines)] + [("t", 0, json.dumps(use("a", None))), ("t", 1, "no json")]
-    got = hooks.tool_stream(spark.createDataFrame(rows, "stream string, n long, line string")).collect()
-    assert sorted(((r.stream, r.open_n, r.close_n, r.name) for r in got), key=str) == [
-        ("s", 0, 5, "x"), ("s", 1, 6, "y"), ("s", 2, 3, "x"), ("s", 8, None, "x"), ("t", 0, None, "tool"),
-    ]
-
-
 def test_failure_flags(spark):
     rows = [json.dumps({"e": x}) for x in (False, 0, "", " ", [], {}, None, "bad", 3, True, ["x"], {"a": 1})]
     df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, x string").select("i", V.parsed(F.col("x")).alias("v"))
