@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.jsons import fold, fold_text, is_answer, searchable
+from . import run_text
 from .ingest import STEP_TYPES
 
 # What the preset criteria look for.
@@ -311,26 +312,17 @@ def parse_rubric(text: str) -> tuple[str, float, list[Criterion]]:
 
 def eval_rubric(traces: DataFrame, steps: DataFrame, criteria: Sequence[Criterion], threshold: float = 0.7) -> DataFrame:
     """trace_id, a column for each criterion, score, passed. A pattern that is expected is sought in outputs only, one that is
-    not in everything the run holds; letter case is folded. A pattern must stand within the trace's or one step's text, so that
-    no run is gathered in one row. An invalid pattern scores 0; weights below 0 count as 0, and all at 0 are an error."""
+    not in everything the run holds; letter case is folded. A run's texts are one text, a space apart, so that a pattern may stand across steps; see
+    run_text.found(). An invalid pattern scores 0; weights below 0 count as 0, and all at 0 are an error."""
     weigh = {c.name: c.weight if math.isfinite(c.weight) and c.weight > 0 else 0.0 for c in criteria}
     if not sum(weigh.values()):
         raise ValueError("a rubric needs a criterion with a weight above 0")
-    text = lambda x: F.coalesce(x, F.lit('""'))
-    said = lambda: text(F.col("output"))
-    quoted = F.concat(F.lit('"'), F.coalesce("error", F.lit("")), F.lit('"'))
-    whole = {
-        "trace": F.concat_ws(" ", said(), text(F.col("input")), quoted),
-        "step": F.concat_ws(" ", said(), F.col("name"), text(F.col("input")), quoted),
-    }
-    good = [c for c in criteria if java_regex(c.pattern)]
-
-    def hits(kind: str) -> list[Column]:
-        return [(said() if c.expected else whole[kind]).rlike(f"(?i){c.pattern}").alias(f"{kind}_{i}") for i, c in enumerate(good)]
-
-    most = [F.max(f"step_{i}").alias(f"step_{i}") for i in range(len(good))]
-    per = steps.select("trace_id", *hits("step")).groupBy("trace_id").agg(F.count("*").alias("steps"), *most)
-    rows = traces.select(F.col("id").alias("trace_id"), *hits("trace")).join(per, "trace_id", "left")
-    found = {c.name: F.col(f"trace_{i}") | F.coalesce(f"step_{i}", F.lit(False)) for i, c in enumerate(good)}
-    score = {c.name: F.when(found[c.name] == c.expected, 1.0).otherwise(0.0) if c.name in found else F.lit(0.0) for c in criteria}
+    good = {f"c{i}": c for i, c in enumerate(criteria) if java_regex(c.pattern)}
+    rows = traces.select(F.col("id").alias("trace_id"))
+    for expected in (True, False):
+        patterns = {n: c.pattern for n, c in good.items() if c.expected == expected}
+        if patterns:
+            rows = rows.join(run_text.found(run_text.run_pieces(traces, steps, expected), patterns), "trace_id", "left")
+    place = {c.name: n for n, c in good.items()}
+    score = {c.name: F.when(F.col(place[c.name]) == c.expected, 1.0).otherwise(0.0) if c.name in place else F.lit(0.0) for c in criteria}
     return _result(rows, {n: (s, weigh[n], False) for n, s in score.items()}, threshold)

@@ -213,6 +213,19 @@ query("eval_rubric", """, p as (select trace_id, bool_or(regexp_matches(coalesce
  r as (select *, floor((answers * 2 + no_failures) / 3.5::double * 1000 + 0.5) / 1000 as score from c) select *, score >= 0.7 as passed from r""")(
     lambda s: judge.eval_rubric(s.traces, s.steps, RUBRIC)
 )
+ACROSS = (
+    judge.Criterion("after_economy", r'economy"\} \{"answer":"\w+', True), judge.Criterion("shipped_first", r'^"shipped" \{', True), judge.Criterion("silent_pair", r'"" ""', True, 2.0),
+    judge.Criterion("fails_then_goes_on", r'"tool failed" \w+ \{"part":\d{1,6},"q', False), judge.Criterion("ends_well", r'\} ""$', True),
+)
+query("eval_rubric_across", """, o as (select trace_id, string_agg(coalesce(output, '""'), ' ' order by step_number) as outs,
+ string_agg(concat_ws(' ', name, coalesce(input, '""'), '"' || coalesce(error, '') || '"'), ' ' order by step_number) as rest from steps group by 1),
+ x as (select id as trace_id, concat_ws(' ', coalesce(output, '""'), outs) as produced, concat_ws(' ', coalesce(output, '""'), outs, coalesce(input, '""'), '"' || coalesce(error, '') || '"', rest) as whole
+ from traces left join o on o.trace_id = id), c as (select trace_id, cast(regexp_matches(produced, '(?i)economy"\\} \\{"answer":"\\w+') as double) as after_economy,
+ cast(regexp_matches(produced, '(?i)^"shipped" \\{') as double) as shipped_first, cast(regexp_matches(produced, '"" ""') as double) as silent_pair,
+ cast(not regexp_matches(whole, '(?i)"tool failed" \\w+ \\{"part":\\d{1,6},"q') as double) as fails_then_goes_on, cast(regexp_matches(produced, '\\} ""$') as double) as ends_well from x),
+ r as (select *, floor((after_economy + shipped_first + silent_pair * 2 + fails_then_goes_on + ends_well) / 6 * 1000 + 0.5) / 1000 as score from c) select *, score >= 0.5 as passed from r""")(
+    lambda s: judge.eval_rubric(s.traces, s.steps, ACROSS, 0.5)
+)
 _WORDS = "list_distinct(list_filter(string_split_regex(lower({}), '\\W+'), lambda x: length(x) > 4))"
 query("eval_hallucination", f""", w as (select trace_id, unnest({_WORDS.format("output")}) as word from steps where step_type = 'retrieval' and output is not null),
  r as (select trace_id, list(distinct word) as theirs from w group by 1),
