@@ -52,6 +52,13 @@ def _in_order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["stream", "open_n", "close_n"]).astype({"stream": object, "open_n": "int64", "close_n": "int64"})
 
 
+def _read(rows: DataFrame, odd: DataFrame) -> DataFrame:
+    """Pairs of the streams (stream) of odd among the rows of _calls(), read line by line."""
+    # cut, since a repartition right behind the join is planned away, and the join may then deal a stream's rows to several tasks
+    narrow = cut(rows.join(odd, "stream", "left_semi").select("stream", "n", "use", "call", "name"))
+    return narrow.repartition("stream").sortWithinPartitions("stream", "n").mapInPandas(_in_order, PAIR)
+
+
 def pairs(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     """(stream, open_n, close_n) of lines (stream, n, line), n different in each line of a stream.
 
@@ -85,9 +92,7 @@ def pairs(lines: DataFrame, block: int = BLOCK) -> DataFrame:
 
     odd = met.where("shut > close_n").select("stream").union(queue.where("lost and shut > n").select("stream")).union(left.where("bare and named").select("stream"))
     odd = cut(odd.distinct())
-    narrow = rows.join(odd, "stream", "left_semi").select("stream", "n", "use", "call", "name")
-    read = narrow.repartition("stream").sortWithinPartitions("stream", "n").mapInPandas(_in_order, PAIR)
-    return by_id.union(met.drop("shut")).join(odd, "stream", "left_anti").union(read)
+    return by_id.union(met.drop("shut")).join(odd, "stream", "left_anti").union(_read(rows, odd))
 
 
 def _text_of(v: Column, path: str) -> Column:

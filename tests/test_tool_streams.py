@@ -73,6 +73,21 @@ def test_a_call_that_an_older_result_takes_is_read_in_order(spark):
     assert got == {("steal", 0, 2), ("steal", 1, 3), ("lost", 0, 1), ("again", 1, 2), ("again", 0, 3), ("empty", 0, 1)}
 
 
+def test_streams_read_in_order_stay_whole(spark):
+    """Lines of a stream that lie in many partitions, as in large tables, go to one task."""
+    rng = random.Random(1)
+    streams = {f"s{k}": [use(rng.choice("ab"), rng.choice("xy")) if rng.random() < 0.5 else res(rng.choice("abq"), rng.choice("xyz")) for _ in range(60)] for k in range(40)}
+    rows = tool_streams.cut(tool_streams._calls(frame(spark, streams)).repartition(8))
+    odd = tool_streams.cut(rows.select("stream").distinct())
+    tool_streams.ready()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions stay apart
+    try:
+        got = {(r.stream, r.open_n, r.close_n) for r in tool_streams._read(rows, odd).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {(s, a, b) for s, lines in streams.items() for a, b in by_hand(lines)}
+
+
 def test_steps_traces_and_skipped(spark):
     ok = [
         {"type": "init"}, use("a", "x") | {"input": {"q": 1}}, res("a", "x") | {"output": "fine", "error": ""}, use("b", "x"), res("b", None) | {"result": {"r": 2}, "is_error": "TRUE"},
