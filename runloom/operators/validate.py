@@ -69,7 +69,7 @@ def validate(docs: DataFrame) -> DataFrame:
     steps = V.items(v, "$.steps")
     numbers = F.filter(F.transform(steps, lambda s: V.whole(s, "$.step_number")), lambda n: n.isNotNull())
     text_fields = ("agent_version", "started_at", "ended_at", "session_id")
-    faults = F.array(
+    faults = (
         _fault(~V.is_object(v), "root", "must be an object"),
         _fault(V.is_object(v) & ~_filled(v, "$.agent_name"), "agent_name", "is required and must be a string"),
         _fault(V.has(v, "$.status") & _not_in(v, "$.status", STATUSES), "status", "is unknown"),
@@ -81,8 +81,10 @@ def validate(docs: DataFrame) -> DataFrame:
         _fault(V.has(v, "$.steps") & steps.isNull(), "steps", "must be an array"),
         _fault(F.coalesce(F.size(numbers) > F.size(F.array_distinct(numbers)), F.lit(False)), "steps", "a step_number appears more than once"),
     )
-    whole = rows.select("doc_id", F.explode(F.array_compact(faults)).alias("x"))
-    each = rows.select("doc_id", F.posexplode(steps).alias("i", "s"))
+    listed = F.flatten(F.transform(steps, lambda s: F.array(*(reference(s, name)[1] for name in REFS))))
+    lost = F.array_except(F.filter(listed, lambda n: n >= 1), numbers)  # what references name and no step has
+    # one pass: the faults of the whole go with the first step, or alone where there is none
+    each = rows.select("doc_id", F.array(*faults).alias("whole"), lost.alias("lost"), F.posexplode_outer(steps).alias("i", "s"))
     s, at = F.col("s"), F.concat(F.lit("steps["), F.col("i").cast("string"), F.lit("]."))
     named = lambda part: F.concat(at, F.lit(part))
     own = V.whole(s, "$.step_number")
@@ -92,6 +94,7 @@ def validate(docs: DataFrame) -> DataFrame:
         refs += [
             _fault(given & ~F.coalesce(ref >= 1, F.lit(False)), named(name), "must be a positive whole number"),
             _fault((ref >= 1) & (ref >= own), named(name), "must name an earlier step"),
+            _fault((ref >= 1) & F.array_contains("lost", ref), named(name), "names a step that is not there"),
         ]
     step_faults = F.array(
         _fault(~V.is_object(s), named("root"), "must be an object"),
@@ -103,13 +106,11 @@ def validate(docs: DataFrame) -> DataFrame:
         *refs,
         *(F.when(V.has(s, "$.decision"), f) for f in decision_faults(F.try_variant_get(s, "$.decision", "variant"), named("decision"))),
     )
-    inner = each.select("doc_id", F.explode(F.array_compact(step_faults)).alias("x"))
-    pairs = F.array(*(F.struct(F.lit(name).alias("name"), reference(s, name)[1].alias("ref")) for name in REFS))
-    asked = each.select("doc_id", at.alias("at"), F.explode(pairs).alias("r")).where("r.ref >= 1")
-    have = each.select("doc_id", own.alias("__n")).where("__n is not null")
-    asked = asked.select("doc_id", F.concat("at", "r.name").alias("field"), F.col("r.ref").alias("__n"))
-    lost = asked.join(have, ["doc_id", "__n"], "left_anti").select("doc_id", "field", F.lit("names a step that is not there").alias("message"))
-    return whole.union(inner).select("doc_id", "x.field", "x.message").union(lost)
+    # the faults are a column of their own and nulls go afterwards: inside a lambda nothing is compiled, nor is what is asked twice read once
+    first = F.when(F.col("i").isNull() | (F.col("i") == 0), F.col("whole"))
+    found = each.select("doc_id", first.alias("whole"), F.when(F.col("i").isNotNull(), step_faults).alias("own"))
+    found = found.select("doc_id", F.explode(F.array("whole", "own")).alias("x")).select("doc_id", F.explode("x").alias("x")).where("x is not null")
+    return found.select("doc_id", "x.field", "x.message")
 
 
 def trace_id(v: Column, doc_id: Column, body: Column, salt: str = "") -> Column:
@@ -123,6 +124,7 @@ def tables(docs: DataFrame, extra_tags: Sequence[str] = (), salt: str = "", vali
     without an id gets one of its own; salt tells those of one delivery from those of another."""
     if not valid:
         docs = docs.join(validate(docs).select("doc_id").distinct(), "doc_id", "left_anti")
+        docs = cut(docs)  # what is left is read for each of the tables
     rows = docs.select("doc_id", "body", V.parsed(F.col("body")).alias("v"))
     v = F.col("v")
     none = F.array().cast("array<string>")
