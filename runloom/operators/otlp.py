@@ -148,8 +148,16 @@ def span_steps(spans: DataFrame) -> DataFrame:
     first = F.min(F.when(F.col("step_type") == "root", F.col("place"))).over(Window.partitionBy("trace_id"))
     rows = rows.withColumn("root", first).where("root is null or place <> root")
     rows = rows.withColumn("step_number", (F.col("place") - F.when(F.col("root") < F.col("place"), 1).otherwise(0)).cast("int"))
-    up = rows.select(F.col("trace_id").alias("__t"), F.col("span_id").alias("__s"), F.col("step_number").alias("parent_step_number"))
-    rows = rows.join(up, F.expr("trace_id = __t and parent_id = __s"), "left")
+    # a row under its parent's id meets the number under its own, so that the batches are read once
+    whole = F.struct(*(c for c in rows.columns if c != "trace_id"))
+    none = lambda kind: F.lit(None).cast(kind)
+    both = F.array(
+        F.struct(F.col("parent_id").alias("at"), none("int").alias("up"), whole.alias("x")),
+        F.struct(F.col("span_id").alias("at"), F.col("step_number").alias("up"), none(rows.select(whole.alias("x")).schema["x"].dataType).alias("x")),
+    )
+    met = rows.select("trace_id", F.explode(both).alias("b")).select("trace_id", "b.*")
+    met = met.withColumn("up", F.max("up").over(Window.partitionBy("trace_id", "at"))).where("x is not null")
+    rows = met.select("trace_id", "x.*", F.when(F.col("at").isNotNull(), F.col("up")).alias("parent_step_number"))
     took = F.when(F.col("end_ms") >= F.col("start_ms"), F.col("end_ms") - F.col("start_ms"))
     return rows.select(
         "trace_id", "step_number", F.when(F.col("step_type") == "root", "thought").otherwise(F.col("step_type")).alias("step_type"), F.col("step_name").alias("name"),
