@@ -243,39 +243,41 @@ def numbered(spans: dict[str, dict]) -> dict[int, dict]:
 
 
 class SpanSteps(StatefulProcessor):
-    """Steps of the spans of a trace: a map state of the spans by id and one of the steps as last given out.
+    """Steps of the spans of a trace: a map state with an entry for each version, the spans that came with it. What was given out last follows from them.
 
     A span that comes again is dropped (the earlier place wins, so that the order of the batches doesn't matter); one that comes late is put in its place and
     what it renumbers is given out anew; a child waits with its parent's id and is linked when the parent comes. No watermark drops anything.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.spans = handle.getMapState("spans", "span_id string", "body string")
-        self.shown = handle.getMapState("shown", "step_number int", "body string")
-        self.version = handle.getValueState("version", "version bigint")
+        self.spans = handle.getMapState("spans", "version bigint", "body string")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        spans = {k[0]: json.loads(v[0]) for k, v in self.spans.iterator()}
-        new = set()
+        spans, new, version = {}, {}, 1
+
+        def take(span_id: str, span: dict) -> bool:
+            have = spans.get(span_id)
+            if first := have is None or span["place"] < have["place"]:
+                spans[span_id] = span
+            return first
+
+        for _, v in self.spans.iterator():
+            version += 1
+            for span_id, span in json.loads(v[0]).items():
+                take(span_id, span)
+        shown = numbered(spans)
         for r in rows:
-            have = spans.get(r["span_id"])
-            if have is None or r["place"] < have["place"]:
-                spans[r["span_id"]] = {k: v for k, v in r.asDict().items() if k not in ("trace_id", "span_id")}
-                new.add(r["span_id"])
+            span = {k: v for k, v in r.asDict().items() if k not in ("trace_id", "span_id")}
+            if take(r["span_id"], span):
+                new[r["span_id"]] = span
         if not new:
             return
-        for span_id in new:
-            self.spans.updateValue((span_id,), (json.dumps(spans[span_id]),))
-        version = (self.version.get()[0] if self.version.exists() else 0) + 1
-        self.version.update((version,))
-        shown, now = {k[0]: v[0] for k, v in self.shown.iterator()}, numbered(spans)
+        self.spans.updateValue((version,), (json.dumps(new),))
+        now = numbered(spans)
         for n, step in now.items():
-            body = json.dumps(step)
-            if shown.get(n) != body:
-                self.shown.updateValue((n,), (body,))
-                yield Row(kind="step", trace_id=key[0], step_number=n, version=version, gone=False, body=body)
+            if shown.get(n) != step:
+                yield Row(kind="step", trace_id=key[0], step_number=n, version=version, gone=False, body=json.dumps(step))
         for n in shown.keys() - now.keys():  # a root that came late takes the number of none
-            self.shown.removeKey((n,))
             yield Row(kind="step", trace_id=key[0], step_number=n, version=version, gone=True, body="null")
 
     def close(self) -> None:
