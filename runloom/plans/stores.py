@@ -31,10 +31,13 @@ def filled(s: Store) -> TraceStore:
 
 def merged(s: Store) -> DataFrame:
     """Span batches delivered in two parts, dealt by a hash, with the first part again at the end."""
-    spans = cut(otlp.read_spans(telemetry.span_batches(s)).withColumn("part", F.pmod(F.xxhash64("trace_id", "span_id", "seq.seq"), F.lit(DELIVERIES))))
     store = fresh(s)
+    spans = otlp.read_spans(telemetry.span_batches(s)).withColumn("part", F.pmod(F.xxhash64("trace_id", "span_id", "seq.seq"), F.lit(DELIVERIES)))
+    spans = store.interim("delivered", spans)
     for part in (*range(DELIVERIES), 0):
         store.merge_spans(spans.where(F.col("part") == part).drop("part"))
+        store.vacuum(1)  # no other writer knows this store
+    store.forget("delivered")
     ids = store.table("traces").select(F.col("id").alias("trace_id"), F.get_json_object("metadata", "$.otel_trace_id").alias("otel"))
     return store.table("steps").join(ids, "trace_id").drop("trace_id").withColumnRenamed("otel", "trace_id")
 

@@ -233,18 +233,21 @@ class TraceStore(VersionedTables):
         key = F.when(~F.col("trace_id").startswith("!"), F.concat(F.lit("otel:"), "trace_id")).when(
             F.col("session_id").isNotNull(), F.concat(F.lit("session:"), "session_id", F.lit(f":{source_format}"))
         )
-        rows = cut(spans.select(
+        folder = uuid.uuid4().hex
+        rows = self.interim(folder, spans.select(
             F.coalesce(key, F.concat(F.lit("one:"), "trace_id")).alias("alias"), F.concat_ws(".", *(F.lpad(F.col(f"seq.{c}").cast("string"), 20, "0") for c in ("seq", "i", "j", "k"))).alias("place"),
             F.col("trace_id").alias("otel_trace_id"), *(c for c in spans.columns if c not in ("seq", "trace_id")),
         ))
+        aliases = self.interim(folder, rows.select("alias").distinct())
 
         def work(snap: Snapshot) -> dict:
-            known = snap.near("aliases", rows.select("alias")).groupBy(F.col("id").alias("alias")).agg(
+            known = snap.near("aliases", aliases).groupBy(F.col("id").alias("alias")).agg(
                 F.min_by("trace_id", F.struct(F.coalesce(times.instant_ms(F.col("started_at")), F.lit(2**62)), "trace_id")).alias("target")
             )
             named = F.coalesce("target", F.concat(F.lit("trc_"), F.substring(F.sha2("alias", 256), 1, 16)))
-            put = cut(rows.join(known, "alias", "left").withColumn("trace_id", named).drop("target"))
-            ids = put.select("trace_id").distinct()
+            names = self.interim(folder, aliases.join(known, "alias", "left").select("alias", named.alias("trace_id")))
+            put = rows.join(names, "alias")
+            ids = names.select("trace_id").distinct()
             touched = self.touched(ids)
             old = {n: snap.table(n, touched) for n in ("spans", "steps", "traces")}
             mine, others = "left_semi", "left_anti"
@@ -252,7 +255,7 @@ class TraceStore(VersionedTables):
             batch = F.lit(snap.version)
             every = old["spans"].join(ids, "trace_id", mine).unionByName(put.withColumn("batch", batch), allowMissingColumns=True)
             w = Window.partitionBy("trace_id", "span_id").orderBy("batch", "place")
-            every = cut(every.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r"))
+            every = self.interim(folder, every.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r"))
             placed = every.withColumn("seq", F.struct("batch", "place"))
             spanned = F.get_json_object("metadata", "$.otel_span_id").isNotNull()
             own = old["steps"].join(ids, "trace_id", mine).where(~spanned)
@@ -268,7 +271,10 @@ class TraceStore(VersionedTables):
                 "traces": (old["traces"].join(ids.withColumnRenamed("trace_id", "id"), "id", others).unionByName(traces), touched), "aliases": (self._aliases(fresh), None),
             }
 
-        self.change(work)
+        try:
+            self.change(work)
+        finally:
+            self.forget(folder)
 
     @staticmethod
     def _merged(before: DataFrame, spans: DataFrame, source_format: str) -> DataFrame:

@@ -184,3 +184,13 @@ def test_forks_in_the_store(spark, store):
     assert of("steps", 3, "step_number", "parent_step_number") == [(1, None), (3, 1)] and of("decisions", 3, "chosen") == [("c",)]
     assert of("snapshots", 3, "step_number", "context_window", "token_count") == [(1, '{"w":1}', 0), (3, '{"mine": 1}', 0)]
     assert of("snapshots", 4, "step_number", "context_window", "token_count") == [(1, '{"w":1}', 0), (4, '{"mine": 1}', 7)]
+
+
+def test_merging_spans_leaves_only_the_store_on_disk(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "checkpoints"))
+    store = TraceStore(spark, str(tmp_path / "store"), 4)
+    for seq, spans in enumerate([[TOOL], [CHAT, ROOT]]):
+        store.merge_spans(batch(spark, seq, *spans))
+    assert not [f for f in (tmp_path / "checkpoints").rglob("*") if f.is_file()]
+    assert not [f for f in (tmp_path / "store" / "_interim").rglob("*") if f.is_file()]
+    assert store.table("steps").count() == 2
