@@ -50,13 +50,14 @@ query("store_merged_spans", ORACLES["otlp_steps"], raw=True)(
 def patched(s: Store) -> DataFrame:
     """Every third trace is closed and every fifth gets an error that is taken back; then every trace that still runs gets a step after its last."""
     store = filled(s)
-    keyed = s.traces.select("id", F.substring("id", 5, 20).cast("bigint").alias("k"))
+    keyed = store.table("traces").select("id", F.substring("id", 5, 20).cast("bigint").alias("k"))
     close = keyed.where("k % 3 = 0").select("id", F.lit(1).alias("seq"), F.lit('{"status": "Success", "total_tokens": 7, "ended_at": "2020-01-01T00:00:00Z"}').alias("patch"))
     spoil = keyed.where("k % 5 = 0").select("id", F.lit(2).alias("seq"), F.lit('{"error": "oh", "status": "odd"}').alias("patch"))
     store.patch("traces", close.union(spoil).union(spoil.withColumn("seq", F.lit(3)).withColumn("patch", F.lit('{"error": null}'))))
     running = store.table("traces").where("status = 'running'").select(F.col("id").alias("trace_id"))
-    last = s.steps.groupBy("trace_id").agg(F.max("step_number").alias("n"))
-    more = s.traces.select(F.col("id").alias("trace_id")).join(last, "trace_id", "left").selectExpr("trace_id", "cast(coalesce(n, 0) + 1 as int) as step_number", "'output' as step_type", "'added' as name")
+    last = store.table("steps").groupBy("trace_id").agg(F.max("step_number").alias("n"))
+    more = store.table("traces").select(F.col("id").alias("trace_id")).join(last, "trace_id", "left").selectExpr("trace_id", "cast(coalesce(n, 0) + 1 as int) as step_number", "'output' as step_type", "'added' as name")
+    more = cut(more)  # counted below
     faults = store.append_steps(more)
     ran = running.count()
     if faults.count() + ran != more.count():
