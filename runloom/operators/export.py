@@ -26,6 +26,21 @@ def _nested(children: DataFrame, fields: Column, order: str, name: str) -> DataF
     return children.groupBy("trace_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, fields.alias("x")))), lambda v: v["x"]).alias(name))
 
 
+def _beside(steps: DataFrame, own: dict[str, DataFrame]) -> DataFrame:
+    """steps with a column for each of own (trace_id, step_number, name): a left join with each. All rows are dealt by trace once, which the grouping by
+    trace that follows needs too, so that the steps are shuffled once."""
+    if not own:
+        return steps
+    every = steps.withColumn("__step", F.lit(True))
+    for records in own.values():
+        every = every.unionByName(records.where("step_number is not null"), allowMissingColumns=True)
+    here = Window.partitionBy("trace_id", "step_number")
+    every = every.repartition("trace_id").withColumns({n: F.collect_list(n).over(here) for n in own}).where("__step").drop("__step")
+    for n in own:
+        every = every.select("*", F.explode_outer(n).alias("__one")).drop(n).withColumnRenamed("__one", n)
+    return every
+
+
 def export_rows(
     traces: DataFrame, steps: DataFrame, decisions: DataFrame | None = None, evals: DataFrame | None = None, snapshots: DataFrame | None = None
 ) -> DataFrame:
@@ -33,13 +48,12 @@ def export_rows(
 
     A document is one trace, so its steps stand in one row here, as in the format itself.
     """
-    rows = steps
+    own = {}
     if decisions is not None:
-        made = F.struct("options", "chosen", "rationale", "confidence", "decided_by").alias("decision")
-        rows = rows.join(decisions.select("trace_id", "step_number", made), ["trace_id", "step_number"], "left")
+        own["decision"] = decisions.select("trace_id", "step_number", F.struct("options", "chosen", "rationale", "confidence", "decided_by").alias("decision"))
     if snapshots is not None:
-        kept = F.struct("context_window", "environment", "tool_state", "token_count").alias("snapshot")
-        rows = rows.join(snapshots.select("trace_id", "step_number", kept), ["trace_id", "step_number"], "left")
+        own["snapshot"] = snapshots.select("trace_id", "step_number", F.struct("context_window", "environment", "tool_state", "token_count").alias("snapshot"))
+    rows = _beside(steps, own)
     extra = [c for c, on in (("decision", decisions), ("snapshot", snapshots)) if on is not None]
     fields = F.struct(*(c for c in (*STEP_COLUMNS, *extra) if c in rows.columns))
     out = traces.join(_nested(rows, fields, "step_number", "steps").withColumnRenamed("trace_id", "__t"), F.col("id") == F.col("__t"), "left")

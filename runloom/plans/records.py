@@ -98,10 +98,11 @@ query("export_traces", """select t.id, t.agent_name, t.error, t.input, coalesce(
  left join snapshots p on p.trace_id = s.trace_id and p.step_number = s.step_number where s.step_number = 1) s1 on s1.trace_id = t.id
  left join (select trace_id, count(*) as e from evals group by 1) v on v.trace_id = t.id""")(
     lambda s: exported(s).selectExpr(
-        *_get("id:id", "agent_name:agent_name", "error:error", "input:input"), "json_array_length(get_json_object(json, '$.steps')) as steps",
-        "array_join(transform(from_json(get_json_object(json, '$.steps'), 'array<struct<name: string>>'), x -> x.name), ',') as names",
-        "get_json_object(json, '$.steps[0].decision.chosen') as chosen", "cast(get_json_object(json, '$.steps[0].snapshot.token_count') as bigint) as token_count",
-        "json_array_length(get_json_object(json, '$.evals')) as evals",
+        "from_json(json, 'id string, agent_name string, error string, input string, steps array<struct<name: string, decision: struct<chosen: string>,"
+        " snapshot: struct<token_count: bigint>>>, evals array<struct<passed: boolean>>') as x"
+    ).selectExpr(
+        "x.id", "x.agent_name", "x.error", "x.input", "size(x.steps) as steps", "array_join(x.steps.name, ',') as names", "get(x.steps, 0).decision.chosen as chosen",
+        "get(x.steps, 0).snapshot.token_count as token_count", "size(x.evals) as evals",
     )
 )
 query("export_reimport", """select (select count(*) from traces) as traces, (select count(*) from steps) as steps, (select count(*) from evals) as evals,
