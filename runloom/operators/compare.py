@@ -40,12 +40,14 @@ def diff(
     sides = pairs.select("pair_id", F.explode(F.array(
         F.struct(F.lit(True).alias("left"), F.col("left_id").alias("trace_id")), F.struct(F.lit(False).alias("left"), F.col("right_id").alias("trace_id"))
     )).alias("x")).select("pair_id", "x.*")
+    # decisions are joined to the steps of pairs only, not to all that are there
+    rows = steps.join(sides, "trace_id")
     if decisions is not None:
         made = F.to_json(F.struct("chosen", "rationale", "decided_by"), {"ignoreNullFields": "false"})
-        steps = steps.join(decisions.select("trace_id", "step_number", made.alias("decision")), ["trace_id", "step_number"], "left")
+        rows = rows.join(decisions.select("trace_id", "step_number", made.alias("decision")), ["trace_id", "step_number"], "left")
     else:
-        steps = steps.withColumn("decision", F.lit(None).cast("string"))
-    rows = steps.select("trace_id", "step_number", F.struct(*STEP_FIELDS).alias("s")).join(sides, "trace_id")
+        rows = rows.withColumn("decision", F.lit(None).cast("string"))
+    rows = rows.select("pair_id", "left", "step_number", F.struct(*STEP_FIELDS).alias("s"))
     both = rows.groupBy("pair_id", "step_number").agg(
         F.max(F.when(F.col("left"), F.col("s"))).alias("l"), F.max(F.when(~F.col("left"), F.col("s"))).alias("r")
     )
