@@ -444,6 +444,34 @@ def test_url_filters_bound_the_item_sets(spark):
     assert {r.page_id: r.verdict for r in got.collect()} == {1: "block", 2: "allow"}
 
 
+def test_url_filters_mine_all_items(spark):
+    """Rules of items beyond the twelve that tell most of the label, against a count of every set; items of the same urls give each choice."""
+    from itertools import combinations
+
+    rnd, rows = random.Random(3), []
+    for i in range(240):
+        x, y = rnd.random() < 0.5, rnd.random() < 0.5
+        bad = (x != y) if rnd.random() < 0.97 else rnd.random() < 0.5  # neither item tells anything alone
+        some = ["t0", "t1"] if bad and rnd.random() < 0.5 else []
+        more = [f"m{j}" for j in range(10) if bad and i % 3]
+        rows.append((["s:a", *(["x"] if x else ["nx"]), *(["y"] if y else ["ny"]), *some, *more], "block" if bad else "allow"))
+    known = spark.createDataFrame(rows, "items array<string>, label string")
+    data, rules = [(frozenset(i), label) for i, label in rows], {}
+    assert max(len(x) for x, _ in data) > url_filters.WIDTH
+    for items in {c for x in {x for x, _ in data} for k in range(1, 4) for c in combinations(sorted(x), k)}:
+        have = [label for x, label in data if x.issuperset(items)]
+        for label in ("allow", "block"):
+            if have.count(label) >= url_filters.LEAST and have.count(label) / len(have) >= url_filters.CONFIDENCE:
+                rules[items, label] = (have.count(label) / len(have), have.count(label) / len(data))
+    kept = {
+        (items, label): v for (items, label), v in rules.items()
+        if not any(la == label and set(other) < set(items) and w[0] >= v[0] for (other, la), w in rules.items())
+    }
+    got = {(i, label): (c, s) for i, label, c, s in url_filters.mine(known)}
+    assert {k for k in got if len(k[0]) <= 3} == kept.keys() and all(got[k] == kept[k] for k in kept)
+    assert (("x", "y"), "allow") in got and (("nx", "ny"), "allow") in got and (("m0",), "block") in got and (("m9",), "block") in got
+
+
 def one_edit_within(a, b):
     """Brute force: every edit of one word that the bound allows, tried in turn."""
     size = lambda w: sum(len(x.encode()) for x in w)
