@@ -30,12 +30,26 @@ def drop_forward_refs(steps: DataFrame) -> DataFrame:
 
 
 def antecedents(steps: DataFrame) -> DataFrame:
-    """(trace_id, step_number, antecedent, link): the cause where it exists, else the parent, else the nearest earlier decision."""
-    rows = prior_decision(drop_forward_refs(steps))
-    have = steps.select("trace_id", "step_number").distinct()
-    for flag, ref in (("__cause", "caused_by_step_number"), ("__parent", "parent_step_number")):
+    """(trace_id, step_number, antecedent, link): the cause where it exists, else the parent, else the nearest earlier decision.
+
+    A trace is dealt and sorted once. Where no number between the first of a trace and a step's own is missing, what it refers to exists unless it is before the
+    first; only steps behind a gap are joined with the steps of their traces.
+    """
+    refs = {"__cause": "caused_by_step_number", "__parent": "parent_step_number"}
+    w = Window.partitionBy("trace_id").orderBy("step_number")
+    number = F.col("step_number").cast("bigint")
+    first = F.min(number).over(w)
+    place = F.dense_rank().over(w) - F.max(number.isNull().cast("int")).over(w)  # steps without a number come first and count for one
+    rows = prior_decision(drop_forward_refs(steps)).withColumns({"__first": first, "__whole": F.coalesce(number - first == place - 1, F.lit(False))})
+    there = lambda ref: F.when(~F.col("__whole") | (F.col(ref) >= F.col("__first")), F.col(ref)).alias(ref)
+    rows = cut(rows.select("trace_id", "step_number", *(there(ref) for ref in refs.values()), "prior_decision", "__whole"))
+    near = rows.where("__whole").withColumns({flag: F.col(ref).isNotNull() for flag, ref in refs.items()})
+    far = rows.where("not __whole")
+    have = rows.join(far.select("trace_id").distinct(), "trace_id", "left_semi").select("trace_id", "step_number").distinct()
+    for flag, ref in refs.items():
         there = have.select("trace_id", F.col("step_number").alias(ref), F.lit(True).alias(flag))
-        rows = rows.join(there, ["trace_id", ref], "left")
+        far = far.join(there, ["trace_id", ref], "left")
+    rows = near.unionByName(far)
     cause, parent = F.col("__cause"), F.col("__parent")
     number = F.when(cause, F.col("caused_by_step_number")).when(parent, F.col("parent_step_number")).otherwise(F.col("prior_decision"))
     link = F.when(cause, "caused_by").when(parent, "parent").when(F.col("prior_decision").isNotNull(), "decision")
