@@ -39,6 +39,27 @@ def test_equal_to_the_runs_put_together(spark, monkeypatch, places):
     assert not [n for n in ("two", "some", "word", "seam", "odd", "far", "begin", "end", "many") if not 0 < seen[n] < len(runs)]
 
 
+@pytest.mark.parametrize("many", [1, 20, 45])
+def test_long_runs_are_stitched_beside_others(spark, monkeypatch, many):
+    monkeypatch.setattr(run_text, "MANY", many)
+    rng, runs = random.Random(many), {}
+    for k in range(120):
+        runs[f"t{k}"] = ["".join(rng.choice(["a", "b", "foo", " ", '"', "xo"]) for _ in range(rng.choice([0, 1, 2, 4, 9]))) for _ in range(rng.randint(1, 12))]
+    rows = [(t, i * 7 - (k % 5 == 0) * 30, x) for k, (t, texts) in enumerate(runs.items()) for i, x in enumerate(texts)]
+    rng.shuffle(rows)
+    got = {r.trace_id: r for r in run_text.found(spark.createDataFrame(rows, "trace_id string, place long, text string"), PATTERNS).collect()}
+    assert got.keys() == runs.keys()
+    for t, texts in runs.items():
+        for n, p in PATTERNS.items():
+            assert got[t][n] == (re.search(p, " ".join(texts), re.I) is not None), (n, p, texts)
+
+
+def test_short_runs_are_dealt_once(spark):
+    rows = spark.createDataFrame([("t", 0, "ab"), ("t", 1, "cd")], "trace_id string, place long, text string")
+    plan = run_text._near(rows, {"x": run_text.reach("b c")}, {"x": "b c"})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ") == 1 and "Join" not in plan and [r.x for r in run_text.found(rows, {"x": "b c"}).collect()] == [True]
+
+
 def test_rubric_across_steps(spark):
     """What is expected is sought in outputs in the order of their numbers, what is not also over names, inputs and errors; a trace without steps has its own texts."""
     traces = spark.createDataFrame([("a", '"in"', '"done"', 'say "no"'), ("b", None, None, None)], "id string, input string, output string, error string")
