@@ -77,10 +77,10 @@ def divergence(differences: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(n, "pair_id", "left").select("pair_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("differences"), "divergence_step")
 
 
-def golden_steps(steps: DataFrame) -> DataFrame:
-    """(trace_id, ord, step_number, step_type, name, input, failed, model): steps in order; a tool call's input in canonical form."""
+def golden_steps(steps: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """(trace_id, ord, step_number, step_type, name, input, failed, model, and what is kept): steps in order; a tool call's input in canonical form."""
     w = Window.partitionBy("trace_id").orderBy("step_number")
-    rows = steps.select("trace_id", F.row_number().over(w).alias("ord"), "step_number", "step_type", "name", "input", F.col("error").isNotNull().alias("failed"), "model")
+    rows = steps.select("trace_id", F.row_number().over(w).alias("ord"), "step_number", "step_type", "name", "input", F.col("error").isNotNull().alias("failed"), "model", *keep)
     return rows.withColumn("input", canonical(F.when(F.col("step_type") == "tool_call", F.coalesce("input", F.lit("{}")))))
 
 

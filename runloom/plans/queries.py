@@ -276,15 +276,14 @@ query("guard_verdicts", f"""{GUARD} select trace_id, step_number, action as verd
 def golden_sides(s: Store, edit: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Entries and steps of even keys as baselines, and of the same runs as candidates. Where edited, every fourth run has lost its last step, every sixth
     failed, a part of the models is missing, and inputs are written in another order."""
-    even = s.traces.where("trace_key % 2 = 0 and parent_trace_id is null")
-    steps = s.steps.where("trace_key % 2 = 0")
-    rows = cut(compare.golden_steps(steps))  # read by every part of the check
+    even = s.heads.where("trace_key % 2 = 0 and parent_trace_id is null")
+    last = Window.partitionBy("trace_id")
+    steps = s.steps.where("trace_key % 2 = 0").withColumn("most", F.max("step_number").over(last))
+    rows = cut(compare.golden_steps(steps, ("trace_key", "suppkey", "most")))  # read by every part of the check, and changed for the candidates
     gold = cut(compare.golden_entries(even, rows))
     if not edit:
         return gold, rows, gold, rows
-    last = Window.partitionBy("trace_id")
-    fewer = steps.withColumn("most", F.max("step_number").over(last)).where("trace_key % 4 <> 0 or step_number < most")
-    changed = cut(compare.golden_steps(fewer.withColumn("model", F.expr("case when suppkey % 4 <> 0 then model end"))))
+    changed = rows.where("trace_key % 4 <> 0 or step_number < most").withColumn("model", F.expr("case when suppkey % 4 <> 0 then model end"))
     other = F.concat(F.lit('{"priority" : "'), F.get_json_object("input", "$.priority"), F.lit('", "customer": '), F.get_json_object("input", "$.customer"), F.lit("e0}"))
     runs = even.withColumn("status", F.expr("case when trace_key % 6 = 0 then 'failed' else status end"))
     runs = runs.withColumn("input", F.when(F.col("input") != "{}", other).otherwise(F.col("input")))

@@ -88,25 +88,35 @@ class Store:
     spark: SparkSession
     sf_dir: str
 
+    @property
+    def _orders(self) -> DataFrame:
+        return table(self.spark, self.sf_dir, "orders").join(table(self.spark, self.sf_dir, "customer"), F.expr("o_custkey = c_custkey"))
+
     @cached_property
     def traces(self) -> DataFrame:
-        orders = table(self.spark, self.sf_dir, "orders").join(
-            table(self.spark, self.sf_dir, "customer"), F.expr("o_custkey = c_custkey")
-        )
         ship = table(self.spark, self.sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_shipdate").alias("ship"))
-        rows = orders.join(ship, F.expr("o_orderkey = l_orderkey"), "left")
+        rows = self._orders.join(ship, F.expr("o_orderkey = l_orderkey"), "left")
         rows = rows.selectExpr(
             *(f"{e} as {n}" for n, e in TRACE.items()),
             "case when o_orderkey % 20 <> 7 then unix_date(cast(ship as date)) * bigint(86400000) + 43200000 end as ended_ms",
         )
         return rows.withColumn("started_ms", instant_ms(F.col("started_at")))
 
+    @cached_property
+    def heads(self) -> DataFrame:
+        """traces but for their times in ms: their ends alone are found in the line items, a join that Spark keeps where nothing reads them."""
+        return self._orders.selectExpr(*(f"{e} as {n}" for n, e in TRACE.items()))
+
     @cached_property
     def steps(self) -> DataFrame:
         rows = table(self.spark, self.sf_dir, "lineitem").join(table(self.spark, self.sf_dir, "part"), F.expr("l_partkey = p_partkey"))
-        # numbered first: the shuffle by order carries the columns of the tables, and no texts that are made of them
-        rows = rows.withColumn("__number", F.expr(STEP["step_number"]))
-        rows = rows.selectExpr(*(f"{'__number' if n == 'step_number' else e} as {n}" for n, e in STEP.items()))
+        # numbered first: the shuffle by trace carries the columns of the tables, and of the texts that are made of them only the id, by which it leaves
+        # the steps dealt for all that groups, sorts or joins them by trace
+        number = STEP["step_number"].replace("partition by l_orderkey", "partition by __trace")
+        rows = rows.withColumn("__trace", F.expr(STEP["trace_id"])).withColumn("__number", F.expr(number))
+        # the key is read back from the id, so that conditions on it are met before the shuffle
+        made = {"trace_id": "__trace", "step_number": "__number", "trace_key": "cast(substr(__trace, 5) as bigint)"}
+        rows = rows.selectExpr(*(f"{made.get(n, e)} as {n}" for n, e in STEP.items()))
         return rows.selectExpr("*", *REFS)
 
     def records(self, name: str) -> DataFrame:
