@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.jsons import merged
-from ..functions.workers import cut
+from ..functions.workers import cut, ready
 
 HOPS = 8  # steps of a causal chain that are followed in one job
+WHOLE = 10_000  # steps of a trace up to which it is walked in place
 
 
 def decision_points(steps: DataFrame) -> DataFrame:
@@ -56,17 +63,92 @@ def antecedents(steps: DataFrame) -> DataFrame:
     return rows.select("trace_id", "step_number", number.alias("antecedent"), link.alias("link"))
 
 
-def causal_walk(steps: DataFrame, start: DataFrame | None = None) -> DataFrame:
+def in_place(rows: DataFrame, first: list[Column], walk: Callable[[list, list], tuple[list, ...]], made: tuple[str, ...], most: int) -> DataFrame:
+    """rows (trace_id, n, to and more), of those of an n the first, with the whole numbers that walk makes of the n and to of a trace, in order of n; null in
+    traces of more than ``most`` rows.
+
+    Spark deals and sorts the traces once; a task reads them one after another and holds a batch and ``most`` rows at the most.
+    """
+    ready()
+    schema = T.StructType([*rows.schema, *(T.StructField(name, T.IntegerType()) for name in made)])
+    w = Window.partitionBy("trace_id").orderBy("n", *first)
+    rows = rows.withColumns({"__place": F.row_number().over(w), "__before": F.lag("n").over(w)})
+    rows = rows.where(~F.col("n").eqNullSafe(F.col("__before")) | (F.col("__place") == 1)).drop("__before")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []  # rows of a trace that may go on
+        for batch in chain(batches, [None]):
+            parts = held if batch is None else [*held, pa.Table.from_batches([batch])]
+            if not parts:
+                continue
+            table = pa.concat_tables(parts).combine_chunks()
+            starts = np.flatnonzero(table["__place"].to_numpy() == 1).tolist()
+            size, last = len(table), starts[-1] if starts else 0
+            end = size if batch is None or size - last > most else last  # a trace that is too long is given out as it comes
+            held = [table.slice(end)] if end < size else []
+            done = table.slice(0, end)
+            n, to = done["n"].to_pylist(), done["to"].to_pylist()
+            out: list[list] = [[None] * end for _ in made]
+            starts = [a for a in starts if a < end]
+            for a, b in zip(starts, [*starts[1:], end]):
+                if b - a <= most:
+                    for column, values in zip(out, walk(n[a:b], to[a:b])):
+                        column[a:b] = values
+            done = done.drop_columns("__place")
+            for name, values in zip(made, out):
+                done = done.append_column(name, pa.array(values, pa.int32()))
+            yield from done.to_batches()
+
+    return rows.mapInArrow(run, schema)
+
+
+def hops(n: list, to: list) -> tuple[list]:
+    """How many references lead from the last step to each; -1 where none do."""
+    at, out, i, hop = {x: i for i, x in enumerate(n)}, [-1] * len(n), len(n) - 1, 0
+    while i is not None and out[i] < 0:
+        out[i], hop = hop, hop + 1
+        i = at.get(to[i])
+    return (out,)
+
+
+def pre_order(n: list, up: list) -> tuple[list, list]:
+    """Depth and position of each step of a tree; what no root reaches begins anew at the smallest step that is left."""
+    at, below, roots = {x: i for i, x in enumerate(n)}, {}, []
+    for i, x in enumerate(up):
+        above = None if x is None else at.get(x)
+        if above is None or above == i:
+            roots.append(i)
+        else:
+            below.setdefault(above, []).append(i)
+    depth, position, seen = [None] * len(n), [None] * len(n), 0
+    for root in chain(roots, range(len(n))):
+        todo = [(root, 0)] if position[root] is None else []
+        while todo:
+            i, d = todo.pop()
+            if position[i] is None:
+                depth[i], position[i], seen = d, seen, seen + 1
+                todo += [(j, d + 1) for j in reversed(below.get(i, ()))]
+    return depth, position
+
+
+def causal_walk(steps: DataFrame, start: DataFrame | None = None, whole: int = WHOLE) -> DataFrame:
     """(trace_id, hop, step_number, link) from each trace's last step, or from start (trace_id, step_number), back to the first cause.
 
-    References point strictly backwards. The first ``HOPS`` steps of every chain are joined on in one job, which shuffles the references once. Where chains are longer, the
+    References point strictly backwards. Traces of at most ``whole`` steps are dealt and sorted once and walked in place; longer ones, and those with a start, by joins. The first ``HOPS`` steps of every chain are joined on in one job, which shuffles the references once. Where chains are longer, the
     pointers of their traces only are doubled: after r rounds of equi-joins the chains hold their next 2**r steps, so the rounds grow with the logarithm
     of the longest chain and no trace is gathered into one row.
     """
-    own = F.max(F.struct("antecedent", "link")).alias("x")
-    ante = cut(antecedents(steps).groupBy("trace_id", "step_number").agg(own).select("trace_id", "step_number", "x.*"))
-    if start is None:
-        start = ante.groupBy("trace_id").agg(F.max("step_number").alias("step_number"))
+    if start is not None:
+        own = F.max(F.struct("antecedent", "link")).alias("x")
+        return _joined_walk(cut(antecedents(steps).groupBy("trace_id", "step_number").agg(own).select("trace_id", "step_number", "x.*")), start)
+    rows = antecedents(steps).where("trace_id is not null and step_number is not null").select("trace_id", F.col("step_number").alias("n"), F.col("antecedent").alias("to"), "link")
+    rows = cut(in_place(rows, [F.desc("to"), F.desc("link")], hops, ("hop",), whole).where("hop is null or hop >= 0").withColumnRenamed("n", "step_number"))
+    near = rows.where("hop is not null").select("trace_id", "hop", "step_number", "link")
+    far = rows.where("hop is null").select("trace_id", "step_number", F.col("to").alias("antecedent"), "link")
+    return near if far.isEmpty() else near.unionByName(_joined_walk(far, far.groupBy("trace_id").agg(F.max("step_number").alias("step_number"))))
+
+
+def _joined_walk(ante: DataFrame, start: DataFrame) -> DataFrame:
     walk = start.select("trace_id", F.col("step_number").alias("s0"))
     for k in range(HOPS):
         walk = walk.join(ante.select("trace_id", F.col("step_number").alias(f"s{k}"), F.col("antecedent").alias(f"s{k + 1}")), ["trace_id", f"s{k}"], "left")
@@ -89,15 +171,23 @@ def causal_walk(steps: DataFrame, start: DataFrame | None = None) -> DataFrame:
     return reached.join(ante, ["trace_id", "step_number"]).select("trace_id", "hop", "step_number", "link")
 
 
-def step_tree(steps: DataFrame) -> DataFrame:
+def step_tree(steps: DataFrame, whole: int = WHOLE) -> DataFrame:
     """(trace_id, step_number, depth, position): pre-order of each trace's parent tree. Every step comes once; steps whose parent is missing are roots. In a
     cycle, and beneath one, a step that is smaller than all above it is a root, so each cycle is cut at its smallest step; these roots come last.
 
-    Set-wise, so a trace of any size or depth is spread over the cluster: pointers to the 1st, 2nd, 4th ... step above are made by doubling; sizes of branches are summed up along
+    Traces of at most ``whole`` steps are dealt and sorted once and walked in place. Longer ones are treed set-wise, so that one of any size or depth is spread over the cluster: pointers to the 1st, 2nd, 4th ... step above are made by doubling; sizes of branches are summed up along
     them; a step's place among its siblings is the sizes of the earlier ones, and its position the sum of places on its way to the root, again by doubling. The
     rounds of equi-joins grow with the logarithm of the deepest chain.
     """
-    nodes = cut(steps.groupBy("trace_id", F.col("step_number").cast("int").alias("n")).agg(F.min("parent_step_number").cast("int").alias("up")))
+    up = F.expr("case when trace_id is not null and step_number is not null then cast(parent_step_number as int) end")  # steps without a trace or a number are roots
+    rows = steps.select("trace_id", F.col("step_number").cast("int").alias("n"), up.alias("to"))
+    rows = cut(in_place(rows, [F.asc_nulls_last("to")], pre_order, ("depth", "position"), whole))
+    near = rows.where("depth is not null").select("trace_id", F.col("n").alias("step_number"), "depth", "position")
+    far = rows.where("depth is null").select("trace_id", "n", F.col("to").alias("up"))
+    return near if far.isEmpty() else near.unionByName(_joined_tree(far))
+
+
+def _joined_tree(nodes: DataFrame) -> DataFrame:
     have = nodes.select("trace_id", F.col("n").alias("up"))
     edges = cut(nodes.where("up is not null and up <> n").join(have, ["trace_id", "up"], "left_semi").select("trace_id", "n", "up"))
     most = nodes.groupBy("trace_id").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0

@@ -36,3 +36,21 @@ def test_steps_without_gaps_are_not_joined(spark):
     assert sorted(r.antecedent or 0 for r in out.collect()) == list(range(8))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan.split("Initial Plan")[0]  # what adaptive execution left of it
+
+
+def test_walks_in_place_equal_walks_by_joins(spark):
+    rnd = random.Random(9)
+    rows = []
+    for t in range(50):
+        for n in rnd.sample(range(1, 40), rnd.randint(1, 25)):
+            rows.append((f"t{t}", n, rnd.choice(["decision", "output"]), rnd.choice([None, *range(0, 40)]), rnd.choice([None, n - 1, n])))
+    rows += [(f"long{n}", k, "output", k - 1, None) for n in (1, 2) for k in range(1, 60)] + [(None, 1, "decision", None, None), (None, 2, "output", 1, None), ("t0", None, "output", 1, None)]
+    df = spark.createDataFrame(rows, "trace_id string, step_number int, step_type string, caused_by_step_number int, parent_step_number int").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        get = lambda whole: sorted(map(tuple, graph.causal_walk(df, None, whole).collect()), key=str)
+        want = get(0)
+        assert want == get(30) == get(10_000) and max(hop for _, hop, *_ in want) == 58
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)

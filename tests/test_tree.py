@@ -52,3 +52,24 @@ def test_no_trace_is_gathered(spark):
     df = graph.step_tree(spark.createDataFrame([("t", 1, None)], SCHEMA))
     assert "collect" not in df._jdf.queryExecution().toString() and [tuple(r) for r in df.collect()] == [("t", 1, 0, 0)]
     assert graph.step_tree(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_short_traces_are_walked_where_they_lie_and_long_ones_joined(spark):
+    rnd = random.Random(6)
+    shapes = {f"t{i}": [(k, rnd.choice([None, 0, 77, *range(1, 12)])) for k in rnd.sample(range(1, 40), rnd.randint(1, 12))] for i in range(60)}
+    shapes["long"] = [(i, i // 2 or None) for i in range(1, 50)]
+    rows = [(t, n, p) for t, s in shapes.items() for n, p in s] + [("t0", None, 1), ("t0", None, None), (None, 1, None), (None, 2, 1), (None, None, 1)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    get = lambda whole: sorted(map(tuple, graph.step_tree(df, whole).collect()), key=str)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")  # traces go on over batches
+    try:
+        assert get(10_000) == get(6) == get(0)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("tree", "")
+    graph.step_tree(df).collect()
+    n = len(jobs.getJobIdsForGroup("tree"))
+    spark.sparkContext.setJobGroup("", "")
+    assert n < 12  # no rounds of joins
