@@ -137,7 +137,7 @@ query("drop_forward_refs", "select trace_id, step_number, parent_step_number, ca
 
 
 def fork_pairs(s: Store) -> DataFrame:
-    t = s.traces.select("id", "parent_trace_id")
+    t = s.heads.select("id", "parent_trace_id")
     kids = t.where("parent_trace_id is not null").select(F.col("id").alias("pair_id"), F.col("parent_trace_id").alias("left_id"), F.col("id").alias("right_id"))
     return kids.join(t.select(F.col("id").alias("p")), F.expr("left_id = p"), "left_semi")
 
@@ -146,7 +146,7 @@ def run_diff(s: Store, fields=None) -> DataFrame:
     """Differences of forks and their parents, whose inputs are written with other blanks, other digits and another order of keys."""
     other = "concat('{ \"priority\" : \"', get_json_object(input, '$.priority'), '\", \"customer\": ', get_json_object(input, '$.customer'), '.0}')"
     forks = F.col("parent_trace_id").isNotNull() & (F.col("input") != "{}")
-    return compare.diff(s.traces.withColumn("input", F.when(forks, F.expr(other)).otherwise(F.col("input"))), s.steps, fork_pairs(s), fields, s.records("decisions")).withColumns(
+    return compare.diff(s.heads.withColumn("input", F.when(forks, F.expr(other)).otherwise(F.col("input"))), s.steps, fork_pairs(s), fields, s.records("decisions")).withColumns(
         {c: F.when((F.col("field") == "trace_input"), canonical(F.col(c))).otherwise(F.col(c)) for c in ("left", "right")}
     )
 

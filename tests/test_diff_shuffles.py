@@ -1,4 +1,6 @@
 from runloom.operators import compare
+from runloom.plans import queries
+from runloom.sources.fixtures import Store
 
 
 def test_decisions_meet_the_steps_of_pairs_only(spark):
@@ -18,3 +20,8 @@ def test_decisions_meet_the_steps_of_pairs_only(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "step_number" in dealt[0]  # the outer join is that with decisions; that with pairs lies beneath it
     assert [tuple(r) for r in got] == [(1, "decision")]
+
+
+def test_forks_are_compared_without_the_ends_of_traces(spark):
+    plan = queries.run_diff(Store(spark, "/root/testdata/sf0.001"), ["model"])._jdf.queryExecution().optimizedPlan().toString()
+    assert len([x for x in plan.splitlines() if "Relation" in x and "l_orderkey" in x]) == 2  # steps, and the decisions made of them
