@@ -133,9 +133,9 @@ def read_spans(batches: DataFrame) -> DataFrame:
 
 
 def distinct_spans(spans: DataFrame) -> DataFrame:
-    """Each span once, as it was delivered first, with its place among the spans of its trace: by start, those without one last."""
+    """Each span once, as it was delivered first, with its place among the spans of its trace: by start, those without one last. Spans are dealt once, by trace."""
     w = Window.partitionBy("trace_id", "span_id").orderBy("seq")
-    own = spans.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+    own = spans.repartition("trace_id").withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
     return own.withColumn("place", F.row_number().over(Window.partitionBy("trace_id").orderBy(F.col("start_ms").asc_nulls_last(), "seq")))
 
 

@@ -222,22 +222,25 @@ class TraceStore(VersionedTables):
         self.change(work)
         return out[0]
 
-    def merge_spans(self, spans: DataFrame, source_format: str = "otel") -> None:
+    def merge_spans(self, spans: DataFrame, source_format: str = "otel", lying: bool = False) -> None:
         """Upserts a batch of otlp.read_spans(): every span once, in whichever batch it came first, into the trace that has its telemetry id, or else its session and this format
         (no fork; the earliest), or into a new one.
 
         Steps and trace are made anew from all spans of the traces that the batch touches, so any cut and repetition of batches gives the same rows; steps that came
         another way keep their numbers, and the spans' follow them. What a trace holds already wins: its agent, prompt, output and metadata are kept unless it has none, or
-        was synthetic (opened by spans without a root).
+        was synthetic (opened by spans without a root). A trace of whose spans the batch brings none for the first time stays as it is.
+
+        lying: the spans lie in files, so that to read them twice is cheaper than a copy of them.
         """
         key = F.when(~F.col("trace_id").startswith("!"), F.concat(F.lit("otel:"), "trace_id")).when(
             F.col("session_id").isNotNull(), F.concat(F.lit("session:"), "session_id", F.lit(f":{source_format}"))
         )
         folder = uuid.uuid4().hex
-        rows = self.interim(folder, spans.select(
+        rows = spans.select(
             F.coalesce(key, F.concat(F.lit("one:"), "trace_id")).alias("alias"), F.concat_ws(".", *(F.lpad(F.col(f"seq.{c}").cast("string"), 20, "0") for c in ("seq", "i", "j", "k"))).alias("place"),
             F.col("trace_id").alias("otel_trace_id"), *(c for c in spans.columns if c not in ("seq", "trace_id")),
-        ))
+        )
+        rows = rows if lying else self.interim(folder, rows)
         aliases = self.interim(folder, rows.select("alias").distinct())
 
         def work(snap: Snapshot) -> dict:
@@ -247,16 +250,22 @@ class TraceStore(VersionedTables):
             named = F.coalesce("target", F.concat(F.lit("trc_"), F.substring(F.sha2("alias", 256), 1, 16)))
             names = self.interim(folder, aliases.join(known, "alias", "left").select("alias", named.alias("trace_id")))
             put = rows.join(names, "alias")
-            ids = names.select("trace_id").distinct()
+            had = snap.near("spans", names.select("trace_id")).select("trace_id", "span_id")
+            ids = self.interim(folder, put.select("trace_id", "span_id").join(had, ["trace_id", "span_id"], "left_anti").select("trace_id").distinct())
             touched = self.touched(ids)
+            if not touched:
+                return {}
+            put = put.join(ids, "trace_id", "left_semi")
             old = {n: snap.table(n, touched) for n in ("spans", "steps", "traces")}
             mine, others = "left_semi", "left_anti"
             # what came first stays, so a span that comes again changes nothing
             batch = F.lit(snap.version)
             every = old["spans"].join(ids, "trace_id", mine).unionByName(put.withColumn("batch", batch), allowMissingColumns=True)
             w = Window.partitionBy("trace_id", "span_id").orderBy("batch", "place")
-            every = self.interim(folder, every.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r"))
-            placed = every.withColumn("seq", F.struct("batch", "place"))
+            every = every.repartition("trace_id").withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+            # the table's new segment is what steps and traces are made of, so that no copy of it is stored beside it
+            kept = self.written("spans", old["spans"].join(ids, "trace_id", others).unionByName(every))
+            placed = kept.rows.join(ids, "trace_id", mine).withColumn("seq", F.struct("batch", "place"))
             spanned = F.get_json_object("metadata", "$.otel_span_id").isNotNull()
             own = old["steps"].join(ids, "trace_id", mine).where(~spanned)
             last = own.groupBy("trace_id").agg(F.max("step_number").alias("__last"))
@@ -267,7 +276,7 @@ class TraceStore(VersionedTables):
             traces = self._merged(before, placed, source_format)
             fresh = traces.join(before.select("id"), "id", others)
             return {
-                "spans": (old["spans"].join(ids, "trace_id", others).unionByName(every), touched), "steps": (steps, touched),
+                "spans": (kept, touched), "steps": (steps, touched),
                 "traces": (old["traces"].join(ids.withColumnRenamed("trace_id", "id"), "id", others).unionByName(traces), touched), "aliases": (self._aliases(fresh), None),
             }
 
