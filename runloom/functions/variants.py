@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,11 +15,27 @@ def parsed(text: Column) -> Column:
 
 def kind(v: Column, path: str = "$") -> Column:
     """STRING, BIGINT, DECIMAL(..), DOUBLE, BOOLEAN, VOID, ARRAY<..> or OBJECT<..>; null where nothing is."""
-    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+    return F.schema_of_variant(v if path == "$" else F.try_variant_get(v, path, "variant"))
+
+
+def fields(v: Column, names: Iterable[str]) -> Column:
+    """A struct of these fields of an object, each a value of its own, taken out at once; null where there is no object."""
+    return F.try_variant_get(v, "$", _struct(names))
+
+
+def listed(v: Column, path: str, names: Iterable[str]) -> Column:
+    """What fields() gives of each element of an array, null for one that is no object; null where there is no array."""
+    return F.try_variant_get(v, path, f"array<{_struct(names)}>")
+
+
+def _struct(names: Iterable[str]) -> str:
+    return f"struct<{', '.join(f'{n}: variant' for n in names)}>"
 
 
 def has(v: Column, path: str) -> Column:
     """Whether something other than null is there."""
+    if path == "$":
+        return v.isNotNull() & ~F.is_variant_null(v)  # without a look at all that an object holds
     return F.coalesce(kind(v, path) != "VOID", F.lit(False))
 
 
@@ -34,8 +52,7 @@ def is_text(v: Column, path: str = "$") -> Column:
 
 
 def is_number(v: Column, path: str = "$") -> Column:
-    k = kind(v, path)
-    return F.coalesce(k.isin("BIGINT", "DOUBLE", "FLOAT") | k.startswith("DECIMAL"), F.lit(False))
+    return F.coalesce(F.substring(kind(v, path), 1, 3).isin("BIG", "DOU", "FLO", "DEC"), F.lit(False))
 
 
 def text(v: Column, path: str = "$") -> Column:
@@ -58,7 +75,7 @@ def scalar_text(v: Column, path: str = "$") -> Column:
 
 
 def items(v: Column, path: str = "$") -> Column:
-    return F.when(is_array(v, path), F.try_variant_get(v, path, "array<variant>"))
+    return F.try_variant_get(v, path, "array<variant>")
 
 
 def json(v: Column, path: str = "$") -> Column:

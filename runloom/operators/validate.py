@@ -19,6 +19,13 @@ EVENT_TYPES = ("trace_start", "step_start", "step_end", "step", "decision", "sna
 STEP_EVENTS = ("step_start", "step_end", "step", "decision", "snapshot")
 AMOUNTS = ("tokens_used", "duration_ms", "total_tokens", "total_duration_ms", "total_cost_usd")
 REFS = ("parent_step", "caused_by_step")
+TEXTS = ("agent_version", "started_at", "ended_at", "session_id")
+TOTALS = ("total_duration_ms", "total_tokens", "total_cost_usd")
+TRACE_FIELDS = ("id", "agent_name", "status", "trigger", "input", "output", "error", "metadata", "tags", *TEXTS, *TOTALS)
+STEP_FIELDS = (
+    "step_number", "step_type", "name", "input", "output", "error", "metadata", "model", "started_at", "ended_at", "duration_ms", "tokens_used", "decision", "snapshot",
+    *(f"{r}{end}" for r in REFS for end in ("", "_number")),
+)
 
 
 def _fault(bad: Column, field: Column | str, message: str) -> Column:
@@ -38,6 +45,10 @@ def _bad_amount(v: Column, path: str) -> Column:
     return V.has(v, path) & ~F.coalesce(V.number(v, path) >= 0, F.lit(False))
 
 
+def _whole(n: Column) -> Column:
+    return n == F.floor(n)
+
+
 def reference(v: Column, name: str) -> tuple[Column, Column]:
     """(whether a reference is given, its number) under either of its two names."""
     short, long = f"$.{name}", f"$.{name}_number"
@@ -65,46 +76,59 @@ def decision_faults(d: Column, at: Column) -> list[Column]:
 def validate(docs: DataFrame) -> DataFrame:
     """(doc_id, field, message) of every fault of traces (doc_id, body), body being the JSON of one trace with its steps."""
     rows = docs.select("doc_id", V.parsed(F.col("body")).alias("v"))
-    v = F.col("v")
-    steps = V.items(v, "$.steps")
-    numbers = F.filter(F.transform(steps, lambda s: V.whole(s, "$.step_number")), lambda n: n.isNotNull())
-    text_fields = ("agent_version", "started_at", "ended_at", "session_id")
+    # what is read is taken out of a body and of each step at once: a path that is followed, or the kind of a value that holds others, costs as much as the whole
+    seen = ("step_number", "step_type", "name", "model", "started_at", "ended_at", "duration_ms", "tokens_used", "decision", *(f"{r}{end}" for r in REFS for end in ("", "_number")))
+    own_fields = V.fields(F.col("v"), ("agent_name", "status", "trigger", "tags", *TEXTS, *TOTALS))
+    rows = rows.select("doc_id", own_fields.alias("r"), V.listed(F.col("v"), "$.steps", seen).alias("steps"), "v")
+    rows = rows.select("doc_id", "r", "steps", (F.col("steps").isNull() & V.has(F.col("v"), "$.steps")).alias("no_list"))
+    of, steps, there = (lambda c: F.col(f"r.{c}")), F.col("steps"), F.col("r").isNotNull()
+    tags = V.items(of("tags"))
+    # numbers of all steps, and what references name: first what is a number, then what is whole, so that each is read once
+    numbers = F.filter(F.transform(steps, lambda s: V.number(s["step_number"])), _whole)
+    refs = F.flatten(F.transform(steps, lambda s: F.array(*(F.when(V.has(s[r], "$"), V.number(s[r])).otherwise(V.number(s[f"{r}_number"])) for r in REFS))))
+    rows = rows.select("*", numbers.alias("numbers"), F.filter(refs, lambda n: (n >= 1) & _whole(n)).alias("named"))
     faults = (
-        _fault(~V.is_object(v), "root", "must be an object"),
-        _fault(V.is_object(v) & ~_filled(v, "$.agent_name"), "agent_name", "is required and must be a string"),
-        _fault(V.has(v, "$.status") & _not_in(v, "$.status", STATUSES), "status", "is unknown"),
-        _fault(V.has(v, "$.trigger") & _not_in(v, "$.trigger", TRIGGERS), "trigger", "is unknown"),
-        *(_fault(_bad_amount(v, f"$.{c}"), c, "must be a finite number of 0 or more") for c in ("total_duration_ms", "total_tokens", "total_cost_usd")),
-        _fault(V.has(v, "$.tags") & ~V.is_array(v, "$.tags"), "tags", "must be an array"),
-        _fault(F.coalesce(F.exists(V.items(v, "$.tags"), lambda t: ~V.is_text(t)), F.lit(False)), "tags", "must all be strings"),
-        *(_fault(V.has(v, f"$.{c}") & ~V.is_text(v, f"$.{c}"), c, "must be a string") for c in text_fields),
-        _fault(V.has(v, "$.steps") & steps.isNull(), "steps", "must be an array"),
-        _fault(F.coalesce(F.size(numbers) > F.size(F.array_distinct(numbers)), F.lit(False)), "steps", "a step_number appears more than once"),
+        _fault(~there, "root", "must be an object"),
+        _fault(there & ~_filled(of("agent_name"), "$"), "agent_name", "is required and must be a string"),
+        _fault(V.has(of("status"), "$") & _not_in(of("status"), "$", STATUSES), "status", "is unknown"),
+        _fault(V.has(of("trigger"), "$") & _not_in(of("trigger"), "$", TRIGGERS), "trigger", "is unknown"),
+        *(_fault(_bad_amount(of(c), "$"), c, "must be a finite number of 0 or more") for c in TOTALS),
+        _fault(V.has(of("tags"), "$") & tags.isNull(), "tags", "must be an array"),
+        _fault(F.coalesce(F.exists(tags, lambda t: ~V.is_text(t)), F.lit(False)), "tags", "must all be strings"),
+        *(_fault(V.has(of(c), "$") & ~V.is_text(of(c)), c, "must be a string") for c in TEXTS),
+        _fault(F.col("no_list"), "steps", "must be an array"),
+        _fault(F.coalesce(F.size("numbers") > F.size(F.array_distinct("numbers")), F.lit(False)), "steps", "a step_number appears more than once"),
     )
-    listed = F.flatten(F.transform(steps, lambda s: F.array(*(reference(s, name)[1] for name in REFS))))
-    lost = F.array_except(F.filter(listed, lambda n: n >= 1), numbers)  # what references name and no step has
+    lost = F.array_except("named", "numbers")  # what references name and no step has
     # one pass: the faults of the whole go with the first step, or alone where there is none
     each = rows.select("doc_id", F.array(*faults).alias("whole"), lost.alias("lost"), F.posexplode_outer(steps).alias("i", "s"))
-    s, at = F.col("s"), F.concat(F.lit("steps["), F.col("i").cast("string"), F.lit("]."))
+    s, at = (lambda c: F.col(f"s.{c}")), F.concat(F.lit("steps["), F.col("i").cast("string"), F.lit("]."))
     named = lambda part: F.concat(at, F.lit(part))
-    own = V.whole(s, "$.step_number")
-    refs = []
+    is_step, own = F.col("s").isNotNull(), F.col("own")
+    given, ref = {}, {}
+    for name in REFS:
+        short = V.has(s(name), "$")
+        given[name] = short | V.has(s(f"{name}_number"), "$")
+        ref[name] = F.when(short, V.number(s(name))).otherwise(V.number(s(f"{name}_number")))
+    each = each.select("*", V.number(s("step_number")).alias("own"), *(c.alias(f"given_{n}") for n, c in given.items()), *(c.alias(f"ref_{n}") for n, c in ref.items()))
+    each = each.withColumns({c: F.when(_whole(F.col(c)), F.col(c)) for c in ("own", *(f"ref_{n}" for n in REFS))})
+    step_refs = []
     for name in REFS:
-        given, ref = reference(s, name)
-        refs += [
-            _fault(given & ~F.coalesce(ref >= 1, F.lit(False)), named(name), "must be a positive whole number"),
+        ref = F.col(f"ref_{name}")
+        step_refs += [
+            _fault(F.col(f"given_{name}") & ~F.coalesce(ref >= 1, F.lit(False)), named(name), "must be a positive whole number"),
             _fault((ref >= 1) & (ref >= own), named(name), "must name an earlier step"),
             _fault((ref >= 1) & F.array_contains("lost", ref), named(name), "names a step that is not there"),
         ]
     step_faults = F.array(
-        _fault(~V.is_object(s), named("root"), "must be an object"),
-        _fault(V.is_object(s) & ~F.coalesce(own >= 1, F.lit(False)), named("step_number"), "is required and must be a positive whole number"),
-        _fault(V.is_object(s) & _not_in(s, "$.step_type", STEP_TYPES), named("step_type"), "is required and must be known"),
-        _fault(V.is_object(s) & ~_filled(s, "$.name"), named("name"), "is required and must be a string"),
-        *(_fault(V.has(s, f"$.{c}") & ~V.is_text(s, f"$.{c}"), named(c), "must be a string") for c in ("model", "started_at", "ended_at")),
-        *(_fault(_bad_amount(s, f"$.{c}"), named(c), "must be a finite number of 0 or more") for c in ("duration_ms", "tokens_used")),
-        *refs,
-        *(F.when(V.has(s, "$.decision"), f) for f in decision_faults(F.try_variant_get(s, "$.decision", "variant"), named("decision"))),
+        _fault(~is_step, named("root"), "must be an object"),
+        _fault(is_step & ~F.coalesce(own >= 1, F.lit(False)), named("step_number"), "is required and must be a positive whole number"),
+        _fault(is_step & _not_in(s("step_type"), "$", STEP_TYPES), named("step_type"), "is required and must be known"),
+        _fault(is_step & ~_filled(s("name"), "$"), named("name"), "is required and must be a string"),
+        *(_fault(V.has(s(c), "$") & ~V.is_text(s(c)), named(c), "must be a string") for c in ("model", "started_at", "ended_at")),
+        *(_fault(_bad_amount(s(c), "$"), named(c), "must be a finite number of 0 or more") for c in ("duration_ms", "tokens_used")),
+        *step_refs,
+        *(F.when(V.has(s("decision"), "$"), f) for f in decision_faults(s("decision"), named("decision"))),
     )
     # the faults are a column of their own and nulls go afterwards: inside a lambda nothing is compiled, nor is what is asked twice read once
     first = F.when(F.col("i").isNull() | (F.col("i") == 0), F.col("whole"))
@@ -115,8 +139,12 @@ def validate(docs: DataFrame) -> DataFrame:
 
 def trace_id(v: Column, doc_id: Column, body: Column, salt: str = "") -> Column:
     """The trace's own id where it is a string that is not blank; else one made from where the trace stands and what it says, so that equal bodies are traces of their own."""
+    return _own_id(F.try_variant_get(v, "$.id", "variant"), doc_id, body, salt)
+
+
+def _own_id(own: Column, doc_id: Column, body: Column, salt: str) -> Column:
     made = F.concat(F.lit("trc_"), F.substring(F.sha2(F.concat_ws("\n", F.lit(salt), doc_id.cast("string"), body), 256), 1, 16))
-    return F.coalesce(F.when(F.trim(V.text(v, "$.id")) != "", V.text(v, "$.id")), made)
+    return F.coalesce(F.when(F.trim(V.text(own)) != "", V.text(own)), made)
 
 
 def tables(docs: DataFrame, extra_tags: Sequence[str] = (), salt: str = "", valid: bool = False) -> dict[str, DataFrame]:
@@ -126,39 +154,40 @@ def tables(docs: DataFrame, extra_tags: Sequence[str] = (), salt: str = "", vali
         docs = docs.join(validate(docs).select("doc_id").distinct(), "doc_id", "left_anti")
         docs = cut(docs)  # what is left is read for each of the tables
     rows = docs.select("doc_id", "body", V.parsed(F.col("body")).alias("v"))
-    v = F.col("v")
+    rows = rows.select("doc_id", "body", V.fields(F.col("v"), TRACE_FIELDS).alias("r"), V.listed(F.col("v"), "$.steps", STEP_FIELDS).alias("steps"))
+    r, s = (lambda c: F.col(f"r.{c}")), (lambda c: F.col(f"s.{c}"))
     none = F.array().cast("array<string>")
-    tags = F.coalesce(F.try_variant_get(v, "$.tags", "array<string>"), none)
+    tags = F.coalesce(F.try_variant_get(r("tags"), "$", "array<string>"), none)
     traces = rows.select(
-        trace_id(v, F.col("doc_id"), F.col("body"), salt).alias("id"), V.text(v, "$.agent_name").alias("agent_name"),
-        V.text(v, "$.agent_version").alias("agent_version"), F.coalesce(V.text(v, "$.trigger"), F.lit("manual")).alias("trigger"),
-        F.coalesce(V.text(v, "$.status"), F.when(V.has(v, "$.ended_at"), "completed").otherwise("running")).alias("status"),
-        F.coalesce(V.payload(v, "$.input"), F.lit("{}")).alias("input"), V.payload(v, "$.output").alias("output"),
-        *(V.text(v, f"$.{c}").alias(c) for c in ("started_at", "ended_at", "session_id")),
-        *(V.number(v, f"$.{c}").cast(t).alias(c) for c, t in (("total_duration_ms", "bigint"), ("total_tokens", "bigint"), ("total_cost_usd", "double"))),
-        F.coalesce(V.text(v, "$.error"), V.json(v, "$.error")).alias("error"), F.array_distinct(F.concat(tags, F.lit(list(extra_tags)).cast("array<string>"))).alias("tags"),
-        F.coalesce(V.json(v, "$.metadata"), F.lit("{}")).alias("metadata"), F.lit(None).cast("string").alias("parent_trace_id"),
-        F.posexplode_outer(F.coalesce(V.items(v, "$.steps"), F.array().cast("array<variant>"))).alias("i", "s"),
+        _own_id(r("id"), F.col("doc_id"), F.col("body"), salt).alias("id"), V.text(r("agent_name")).alias("agent_name"),
+        V.text(r("agent_version")).alias("agent_version"), F.coalesce(V.text(r("trigger")), F.lit("manual")).alias("trigger"),
+        F.coalesce(V.text(r("status")), F.when(V.has(r("ended_at"), "$"), "completed").otherwise("running")).alias("status"),
+        F.coalesce(V.payload(r("input")), F.lit("{}")).alias("input"), V.payload(r("output")).alias("output"),
+        *(V.text(r(c)).alias(c) for c in ("started_at", "ended_at", "session_id")),
+        *(V.number(r(c)).cast(t).alias(c) for c, t in (("total_duration_ms", "bigint"), ("total_tokens", "bigint"), ("total_cost_usd", "double"))),
+        F.coalesce(V.text(r("error")), V.json(r("error"))).alias("error"), F.array_distinct(F.concat(tags, F.lit(list(extra_tags)).cast("array<string>"))).alias("tags"),
+        F.coalesce(V.json(r("metadata")), F.lit("{}")).alias("metadata"), F.lit(None).cast("string").alias("parent_trace_id"),
+        F.posexplode_outer(F.coalesce("steps", F.array().cast(rows.schema["steps"].dataType))).alias("i", "s"),
     )
-    s, own = F.col("s"), V.whole(F.col("s"), "$.step_number").cast("int")
-    parts = traces.where("s is not null").select(F.col("id").alias("trace_id"), own.alias("step_number"), "s")
-    decision, snapshot = F.try_variant_get(s, "$.decision", "variant"), F.try_variant_get(s, "$.snapshot", "variant")
+    whole = lambda c: V.whole(s(c)).cast("int")
+    parts = traces.where("i is not null").select(F.col("id").alias("trace_id"), whole("step_number").alias("step_number"), "s")
+    decision, snapshot = s("decision"), s("snapshot")
     return {
         "traces": traces.where("i is null or i = 0").drop("i", "s"),
         "steps": parts.select(
-            "trace_id", "step_number", V.text(s, "$.step_type").alias("step_type"), V.text(s, "$.name").alias("name"),
-            F.coalesce(V.payload(s, "$.input"), F.lit("{}")).alias("input"), V.payload(s, "$.output").alias("output"),
-            *(V.text(s, f"$.{c}").alias(c) for c in ("started_at", "ended_at", "model")),
-            *(V.number(s, f"$.{c}").cast("bigint").alias(c) for c in ("duration_ms", "tokens_used")),
-            F.coalesce(V.text(s, "$.error"), V.json(s, "$.error")).alias("error"), F.coalesce(V.json(s, "$.metadata"), F.lit("{}")).alias("metadata"),
-            *(reference(s, r)[1].cast("int").alias(f"{r}_number") for r in REFS),
+            "trace_id", "step_number", V.text(s("step_type")).alias("step_type"), V.text(s("name")).alias("name"),
+            F.coalesce(V.payload(s("input")), F.lit("{}")).alias("input"), V.payload(s("output")).alias("output"),
+            *(V.text(s(c)).alias(c) for c in ("started_at", "ended_at", "model")),
+            *(V.number(s(c)).cast("bigint").alias(c) for c in ("duration_ms", "tokens_used")),
+            F.coalesce(V.text(s("error")), V.json(s("error"))).alias("error"), F.coalesce(V.json(s("metadata")), F.lit("{}")).alias("metadata"),
+            *(F.when(V.has(s(n), "$"), whole(n)).otherwise(whole(f"{n}_number")).alias(f"{n}_number") for n in REFS),
         ),
-        "decisions": parts.where(V.has(s, "$.decision")).select(
+        "decisions": parts.where(V.has(decision, "$")).select(
             "trace_id", "step_number", F.coalesce(V.json(decision, "$.options"), F.lit("[]")).alias("options"), V.text(decision, "$.chosen").alias("chosen"),
             V.text(decision, "$.rationale").alias("rationale"), V.number(decision, "$.confidence").alias("confidence"),
             F.coalesce(V.text(decision, "$.decided_by"), F.lit("agent")).alias("decided_by"),
         ),
-        "snapshots": parts.where(V.has(s, "$.snapshot")).select(
+        "snapshots": parts.where(V.has(snapshot, "$")).select(
             "trace_id", "step_number", *(F.coalesce(V.json(snapshot, f"$.{c}"), F.lit("{}")).alias(c) for c in ("context_window", "environment", "tool_state")),
             F.coalesce(V.number(snapshot, "$.token_count").cast("bigint"), F.lit(0)).alias("token_count"),
         ),
