@@ -129,6 +129,7 @@ def found(pieces: DataFrame, patterns: Mapping[str, str]) -> DataFrame:
         told = F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"])
         runs = pieces.join(open_, "trace_id", "left_semi").groupBy("trace_id").agg(F.array_join(told, " ").alias("text"))
         out = _either(out, runs.select("trace_id", *(F.col("text").rlike(f"(?i){patterns[n]}").alias(f"run_{n}") for n in wide)), wide, "run")
+        out = cut(out)  # a few booleans a run, so that the runs' texts are off the disk before what comes next
     return out
 
 
