@@ -222,6 +222,8 @@ SPAN = (
     "trace_id string, span_id string, parent_id string, place string, start_ms bigint, end_ms bigint, step_type string, step_name string, input string, output string,"
     " tokens bigint, model string, error string, metadata string"
 )
+KEPT = [c.split()[0] for c in SPAN.split(", ")][2:]
+BUCKETS = 1 << 16  # of traces; a batch reads the spans of the buckets that it touches
 SPAN_STEP = "step_type string, name string, input string, output string, duration_ms bigint, tokens_used bigint, model string, error string, metadata string, parent_step_number int"
 
 
@@ -242,8 +244,17 @@ def numbered(spans: dict[str, dict]) -> dict[int, dict]:
     return out
 
 
+def _take(spans: dict[str, dict], span_id: str, span: dict) -> bool:
+    """Whether the span is taken: of those with an id the earliest place wins."""
+    have = spans.get(span_id)
+    if first := have is None or span["place"] < have["place"]:
+        spans[span_id] = span
+    return first
+
+
 class SpanSteps(StatefulProcessor):
-    """Steps of the spans of a trace: a map state with an entry for each version, the spans that came with it. What was given out last follows from them.
+    """Steps of the spans of traces, dealt in BUCKETS by a hash of the trace: a map state with an entry for each version, the spans that came with it. What was given out last
+    follows from them. The traces of a bucket share its calls of the state, which cost far more than the work on a short trace.
 
     A span that comes again is dropped (the earlier place wins, so that the order of the batches doesn't matter); one that comes late is put in its place and
     what it renumbers is given out anew; a child waits with its parent's id and is linked when the parent comes. No watermark drops anything.
@@ -253,32 +264,35 @@ class SpanSteps(StatefulProcessor):
         self.spans = handle.getMapState("spans", "version bigint", "body string")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        spans, new, version = {}, {}, 1
-
-        def take(span_id: str, span: dict) -> bool:
-            have = spans.get(span_id)
-            if first := have is None or span["place"] < have["place"]:
-                spans[span_id] = span
-            return first
-
+        came: dict[str, list[Row]] = {}
+        for r in rows:
+            came.setdefault(r["trace_id"], []).append(r)
+        traces: dict[str, dict] = {t: {} for t in came}
+        fresh, version = {}, 1
         for _, v in self.spans.iterator():
             version += 1
-            for span_id, span in json.loads(v[0]).items():
-                take(span_id, span)
-        shown = numbered(spans)
-        for r in rows:
-            span = {k: v for k, v in r.asDict().items() if k not in ("trace_id", "span_id")}
-            if take(r["span_id"], span):
-                new[r["span_id"]] = span
-        if not new:
-            return
-        self.spans.updateValue((version,), (json.dumps(new),))
-        now = numbered(spans)
-        for n, step in now.items():
-            if shown.get(n) != step:
-                yield Row(kind="step", trace_id=key[0], step_number=n, version=version, gone=False, body=json.dumps(step))
-        for n in shown.keys() - now.keys():  # a root that came late takes the number of none
-            yield Row(kind="step", trace_id=key[0], step_number=n, version=version, gone=True, body="null")
+            for trace_id, own in json.loads(v[0]).items():
+                if trace_id in traces:
+                    for span_id, span in own.items():
+                        _take(traces[trace_id], span_id, span)
+        for trace_id, own in came.items():
+            spans, new = traces.pop(trace_id), {}
+            shown = numbered(spans)
+            for r in own:
+                span = {k: r[k] for k in KEPT}
+                if _take(spans, r["span_id"], span):
+                    new[r["span_id"]] = span
+            if not new:
+                continue
+            fresh[trace_id] = new
+            now = numbered(spans)
+            for n, step in now.items():
+                if shown.get(n) != step:
+                    yield Row(kind="step", trace_id=trace_id, step_number=n, version=version, gone=False, body=json.dumps(step))
+            for n in shown.keys() - now.keys():  # a root that came late takes the number of none
+                yield Row(kind="step", trace_id=trace_id, step_number=n, version=version, gone=True, body="null")
+        if fresh:
+            self.spans.updateValue((version,), (json.dumps(fresh),))
 
     def close(self) -> None:
         pass
@@ -288,8 +302,8 @@ def span_stream(spans: DataFrame) -> DataFrame:
     """CHANGES of a stream of otlp.read_spans(). The place of delivery is compared as text of fixed width."""
     keyed(spans.sparkSession)
     place = F.concat_ws(".", *(F.lpad(F.col(f"seq.{c}").cast("string"), 20, "0") for c in ("seq", "i", "j", "k")))
-    rows = spans.withColumn("place", place).select(*(c.split()[0] for c in SPAN.split(", ")))
-    return rows.groupBy("trace_id").transformWithState(SpanSteps(), CHANGES, "Append", "None")
+    rows = spans.withColumn("place", place).select(F.pmod(F.xxhash64("trace_id"), F.lit(BUCKETS)).alias("bucket"), "trace_id", "span_id", *KEPT)
+    return rows.groupBy("bucket").transformWithState(SpanSteps(), CHANGES, "Append", "None")
 
 
 LINE = "trace_id string, step_number int, phase string, step_type string, name string, error string"
